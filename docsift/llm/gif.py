@@ -39,32 +39,28 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     clear, end = 1 << bits, (1 << bits) + 1
     codes: list[int] = [clear]
     runs = [1]  # codes between clear codes, each run with the clear or end code that closes it
-    at = 0
-    while at < len(data):
+    if data:
         table: dict[int, int] = {}
-        find, free, before = table.get, end + 1, len(codes)
-        current = data[at]
-        full = False
-        for k in range(at + 1, len(data)):
-            key = current << 8 | data[k]
+        find, put, free, before = table.get, codes.append, end + 1, 1
+        rest = iter(data)
+        current = next(rest)
+        for byte in rest:
+            key = current << 8 | byte
             code = find(key)
-            if code is None:
-                codes.append(current)
-                table[key] = free
-                free += 1
-                current = data[k]
-                if free == _FULL:
-                    full = True
-                    break
-            else:
+            if code is not None:
                 current = code
-        if full:
-            at = k
-            codes.append(clear)
-        else:
-            codes.append(current)
-            at = len(data)
-            codes.append(end)
+                continue
+            put(current)
+            current = byte
+            table[key] = free
+            free += 1
+            if free == _FULL:
+                put(clear)
+                table.clear()
+                free = end + 1
+                runs.append(len(codes) - before)
+                before = len(codes)
+        codes += [current, end]
         runs.append(len(codes) - before)
     if len(runs) == 1:
         codes.append(end)
