@@ -99,9 +99,9 @@ def _texts(unit: str, window: int, gram: int, with_text: bool) -> Callable:
     return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and text_key: rows are told apart by both, so that a doc_id may repeat."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64("text").alias("text_key"))
+def keyed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, text, text_key and columns ``keep``: rows are told apart by both, so that a doc_id may repeat."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64("text").alias("text_key"), *(keep or []))
 
 
 def repeated(docs: DataFrame, unit: str, window: int, gram: int, shared: Column) -> tuple[DataFrame, Callable[[bool], DataFrame]]:

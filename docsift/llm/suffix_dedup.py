@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .segments import by_anchor, repeated
+from .segments import by_anchor, keyed, repeated
 
 WINDOW_BYTES = 400
 ANCHOR_BYTES = 16
@@ -208,7 +208,7 @@ def _shard(window: int, limit: int):
     return run
 
 
-def _cut(window: int):
+def _cut(window: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in vec.pieces(batch.column("text")):
@@ -229,24 +229,29 @@ def _cut(window: int):
                 for k in range(len(off) - 1):
                     a, b = off[k], off[k + 1]
                     kept.append(buf[a:b][~gone[a:b]].tobytes() if removed[k] else data[a:b])
+                shas, texts = [hashlib.sha256(x).hexdigest() for x in kept], [x.decode("utf-8", "ignore") for x in kept]
                 yield pa.record_batch(
-                    [batch.column("doc_id")[rows], pa.array(np.diff(off)), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary())],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                    [*(batch.column(c)[rows] for c in ["doc_id", *keep]), pa.array(np.diff(off)), pa.array(removed), pa.array(spans), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
+                    ["doc_id", *keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
                 )
 
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW_BYTES, gram: int = ANCHOR_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary): without bytes of strings of ``window`` bytes
-    that start elsewhere too."""
+def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW_BYTES, gram: int = ANCHOR_BYTES, shard_bytes: int = SHARD_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256, kept_text: without bytes of strings of
+    ``window`` bytes that start elsewhere too. The digest is of all kept bytes; kept_text leaves out cut characters."""
+    keep = list(keep or [])
     source, found = repeated(docs, "byte", window, gram, F.col("n") > 1)
     distinct = found(True).groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), F.first("piece").alias("piece"))
     spans = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard(window, shard_bytes), "anchor long, segment long, spans array<int>")
     own = F.expr("transform(spans, (x, i) -> if(i % 2 = 0, x + start, x))")
     hits = found(False).join(spans, ["anchor", "segment"]).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(own)).alias("hits"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return source.join(hits, ["doc_id", "text_key"], "left").select("doc_id", "text", "hits").mapInArrow(_cut(window), schema)
+    if keep:
+        source = keyed(docs, keep)
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    schema = f"doc_id long, {kinds}n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    return source.join(hits, ["doc_id", "text_key"], "left").select("doc_id", *keep, "text", "hits").mapInArrow(_cut(window, keep), schema)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
