@@ -10,7 +10,7 @@ Consecutive windows that share one anchor position form a segment. Three shuffle
 3. The distinct segments of an anchor meet in one shard, where an exact structure (the caller's) compares them.
 
 What shards find goes back to the documents by segment. No step collects a document's partners, and the rows of
-step 1 are 24 bytes for about every (window - gram) / 2 tokens.
+step 1 are 24 bytes for about every (window - gram) / 2 tokens. Documents are shuffled once, each text compressed.
 """
 
 from __future__ import annotations
@@ -83,7 +83,8 @@ def _anchors(unit: str, window: int, gram: int) -> Callable:
 def _texts(unit: str, window: int, gram: int, with_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, buf, off in vec.pieces(batch.column("text")):
+            batch = batch.filter(batch.column("anchors").is_valid())
+            for rows, buf, off in vec.pieces(vec.unpack(batch.column("packed"))):
                 tokens = Tokens(buf, off, unit)
                 got = tokens.segments(window, gram)
                 wanted = np.unique(vec.lists(batch.column("anchors")[rows])[0]).view(np.uint64)
@@ -99,27 +100,40 @@ def _texts(unit: str, window: int, gram: int, with_text: bool) -> Callable:
     return run
 
 
-def keyed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, text, text_key and columns ``keep``: rows are told apart by both, so that a doc_id may repeat."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64("text").alias("text_key"), *(keep or []))
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with text_key, which tells rows of one doc_id apart (by text); 0 where no doc_id repeats."""
+    doc_id = F.col("doc_id").cast("long")
+    again = docs.select(doc_id.alias("doc_id")).groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
+    return docs.withColumns({"doc_id": doc_id, "text_key": F.xxhash64("text") if again else F.lit(0).cast("long")})
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cols = [vec.pack(batch.column(c)) if c == "text" else batch.column(c) for c in batch.schema.names]
+        yield pa.record_batch(cols, ["packed" if c == "text" else c for c in batch.schema.names])
 
 
-def repeated(docs: DataFrame, unit: str, window: int, gram: int, shared: Column) -> tuple[DataFrame, Callable[[bool], DataFrame]]:
-    """keyed(docs), and a function that gives the segments at repeated anchors with or without their text.
+def repeated(docs: DataFrame, unit: str, window: int, gram: int, measures: list[Column], shared: Column, keep: list[str] | None = None) -> tuple[DataFrame, Callable[[bool], DataFrame]]:
+    """The documents (doc_id, text_key, packed, columns ``keep``), and a function that gives the segments at repeated
+    anchors with or without their text.
 
-    ``shared`` says, of an anchor's aggregate (n rows, smallest and largest document), whether it can hold a repeat.
+    ``shared`` says of an anchor's ``measures`` (over doc_id) whether it can hold a repeat. The packed documents are
+    joined from the left each time, by the same keys, so that they are shuffled once and that shuffle is reused.
     """
     source = keyed(docs)
-    anchors = source.filter(F.col("doc_id").isNotNull()).mapInArrow(_anchors(unit, window, gram), "anchor long, doc_id long, text_key long")
-    hot = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter(shared).select("anchor")
+    keep = list(keep or [])
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    packed = source.select("doc_id", "text_key", "text", *keep).mapInArrow(_pack, f"doc_id long, text_key long, packed binary{kinds}").repartition("doc_id", "text_key")
+    anchors = source.filter(F.col("doc_id").isNotNull()).select("doc_id", "text_key", "text").mapInArrow(_anchors(unit, window, gram), "anchor long, doc_id long, text_key long")
+    hot = anchors.groupBy("anchor").agg(*measures).filter(shared).select("anchor")
     held = anchors.join(hot, "anchor", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
-    joined = source.join(held, ["doc_id", "text_key"])
+    joined = packed.join(held, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "packed", "anchors")
 
     def found(with_text: bool) -> DataFrame:
         schema = "anchor long, segment long, doc_id long, text_key long, start int" + ", piece binary" * with_text
         return joined.mapInArrow(_texts(unit, window, gram, with_text), schema)
 
-    return source, found
+    return packed, found
 
 
 def by_anchor(batches: Iterator[pa.RecordBatch], columns: list[str], size: str, limit: int) -> Iterator[pa.RecordBatch]:

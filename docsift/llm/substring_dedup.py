@@ -24,7 +24,7 @@ from . import vec
 from .segments import by_anchor, repeated
 
 WINDOW_WORDS = 13
-ANCHOR_WORDS = 4
+ANCHOR_WORDS = 6
 #: Bytes of segments in one shard's automaton.
 SHARD_BYTES = 4 << 20
 #: Words of a reference that may be broadcast.
@@ -117,7 +117,7 @@ def _shard(window: int, limit: int):
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, buf, off in vec.pieces(batch.column("text")):
+            for rows, buf, off in vec.pieces(vec.unpack(batch.column("packed"))):
                 starts, ends, first = vec.words(buf, off)
                 hits, bounds = vec.lists(batch.column("hits")[rows])
                 row = np.repeat(np.arange(len(off) - 1), np.diff(bounds))
@@ -142,14 +142,14 @@ def _cut(window: int):
 
 def remove_earlier_passages(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = ANCHOR_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text: without words of windows that start in a smaller doc_id."""
-    source, found = repeated(docs, "word", window, gram, F.col("low") < F.col("high"))
+    source, found = repeated(docs, "word", window, gram, [F.min("doc_id").alias("low"), F.max("doc_id").alias("high")], F.col("low") < F.col("high"))
     distinct = found(True).groupBy("anchor", "segment").agg(F.min("doc_id").alias("low"), F.first("piece").alias("piece"))
     least = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard(window, shard_bytes), "anchor long, segment long, least array<bigint>")
     starts = F.expr("filter(transform(least, (x, i) -> if(x < doc_id, start + i, -1)), x -> x >= 0)")
     hits = found(False).join(least, ["anchor", "segment"]).select("doc_id", "text_key", starts.alias("hits")).filter(F.size("hits") > 0)
     hits = hits.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return source.join(hits, ["doc_id", "text_key"], "left").select("doc_id", "text", "hits").mapInArrow(_cut(window), schema)
+    return source.join(hits, ["doc_id", "text_key"], "left").select("doc_id", "packed", "hits").mapInArrow(_cut(window), schema)
 
 
 def remove_reference_spans(docs: DataFrame, reference: DataFrame, min_words: int = WINDOW_WORDS, shard_words: int = 50_000, max_words: int = REFERENCE_WORDS) -> DataFrame:

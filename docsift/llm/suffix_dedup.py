@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .segments import by_anchor, keyed, repeated
+from .segments import by_anchor, repeated
 
 WINDOW_BYTES = 400
 ANCHOR_BYTES = 16
@@ -211,7 +211,7 @@ def _shard(window: int, limit: int):
 def _cut(window: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, buf, off in vec.pieces(batch.column("text")):
+            for rows, buf, off in vec.pieces(vec.unpack(batch.column("packed"))):
                 hits, bounds = vec.lists(batch.column("hits")[rows])
                 row = np.repeat(np.arange(len(off) - 1), np.diff(bounds))[::2]
                 begin = hits[::2].astype(np.int64) + off[row]
@@ -242,16 +242,14 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW_BYTES, gram: int
     """doc_id, columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256, kept_text: without bytes of strings of
     ``window`` bytes that start elsewhere too. The digest is of all kept bytes; kept_text leaves out cut characters."""
     keep = list(keep or [])
-    source, found = repeated(docs, "byte", window, gram, F.col("n") > 1)
+    source, found = repeated(docs, "byte", window, gram, [F.count(F.lit(1)).alias("n")], F.col("n") > 1, keep)
     distinct = found(True).groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), F.first("piece").alias("piece"))
     spans = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard(window, shard_bytes), "anchor long, segment long, spans array<int>")
     own = F.expr("transform(spans, (x, i) -> if(i % 2 = 0, x + start, x))")
     hits = found(False).join(spans, ["anchor", "segment"]).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(own)).alias("hits"))
-    if keep:
-        source = keyed(docs, keep)
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     schema = f"doc_id long, {kinds}n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return source.join(hits, ["doc_id", "text_key"], "left").select("doc_id", *keep, "text", "hits").mapInArrow(_cut(window, keep), schema)
+    return source.join(hits, ["doc_id", "text_key"], "left").select("doc_id", *keep, "packed", "hits").mapInArrow(_cut(window, keep), schema)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

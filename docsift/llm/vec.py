@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 #: Bytes of text handled at once; a longer single row is handled alone.
 PIECE_BYTES = 2 << 20
@@ -148,6 +149,16 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def pack(texts: pa.Array) -> pa.Array:
+    """Each text compressed on its own, for a shuffle; null counts as empty."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([squeeze((x or "").encode() if not isinstance(x, bytes) else x) for x in texts.to_pylist()], pa.binary())
+
+
+def unpack(packed: pa.Array) -> pa.Array:
+    return pa.array(map(zstandard.ZstdDecompressor().decompress, packed.to_pylist()), pa.binary(), size=len(packed))
+
+
 def longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
