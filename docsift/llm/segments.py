@@ -5,9 +5,10 @@ A window is ``window`` consecutive tokens (words or bytes) of one document. Its
 Consecutive windows that share one anchor position form a segment. Three shuffles follow:
 
 1. (anchor, document) pairs are counted by anchor; an anchor that one document alone has can't hold a repeat.
-2. Documents that hold repeated anchors give the text of those segments; equal segments become one row
+2. Documents that hold repeated anchors give the hashes of those segments; equal segments become one row
    (with their number and smallest document), before anything else moves.
-3. The distinct segments of an anchor meet in one shard, where an exact structure (the caller's) compares them.
+3. Where an anchor has several distinct segments, their texts, each from one document, meet in one shard, where an
+   exact structure (the caller's) compares them.
 
 What shards find goes back to the documents by segment. No step collects a document's partners, and the rows of
 step 1 are 24 bytes for about every (window - gram) / 2 tokens. Documents are shuffled once, each text compressed.
@@ -16,10 +17,11 @@ step 1 are 24 bytes for about every (window - gram) / 2 tokens. Documents are sh
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
@@ -69,71 +71,100 @@ class Tokens:
         return {"row": row[begin], "start": start, "windows": windows, "anchor": anchor, "segment": whole}
 
 
-def _anchors(unit: str, window: int, gram: int) -> Callable:
+def _anchors(unit: str, window: int, gram: int, keys: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in vec.pieces(batch.column("text")):
                 got = Tokens(buf, off, unit).segments(window, gram)
                 take = pa.array(got["row"])
-                yield pa.record_batch([vec.longs(got["anchor"]), batch.column("doc_id")[rows].take(take), batch.column("text_key")[rows].take(take)], ["anchor", "doc_id", "text_key"])
+                yield pa.record_batch([vec.longs(got["anchor"]), *(batch.column(k)[rows].take(take) for k in keys)], ["anchor", *keys])
 
     return run
 
 
-def _texts(unit: str, window: int, gram: int, with_text: bool) -> Callable:
+def _segments(unit: str, window: int, gram: int, keys: list[str], by: str, with_text: bool) -> Callable:
+    """Segments whose anchor (or own hash, as ``by`` says) is in the row's list ``wanted``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column("anchors").is_valid())
+            batch = batch.filter(batch.column("wanted").is_valid())
             for rows, buf, off in vec.pieces(vec.unpack(batch.column("packed"))):
                 tokens = Tokens(buf, off, unit)
                 got = tokens.segments(window, gram)
-                wanted = np.unique(vec.lists(batch.column("anchors")[rows])[0]).view(np.uint64)
-                keep = np.flatnonzero(np.isin(got["anchor"], wanted))
+                wanted = np.unique(vec.lists(batch.column("wanted")[rows])[0]).view(np.uint64)
+                keep = np.flatnonzero(np.isin(got[by], wanted))
                 got = {k: v[keep] for k, v in got.items()}
                 take = pa.array(got["row"])
-                own = (got["start"] - tokens.first[got["row"]]).astype(np.int32)
-                out = {"anchor": vec.longs(got["anchor"]), "segment": vec.longs(got["segment"]), "doc_id": batch.column("doc_id")[rows].take(take), "text_key": batch.column("text_key")[rows].take(take), "start": pa.array(own)}
+                out = {"anchor": vec.longs(got["anchor"]), "segment": vec.longs(got["segment"])}
                 if with_text:
                     out["piece"] = tokens.texts(got["start"], got["start"] + got["windows"] + window - 1)
+                else:
+                    out |= {k: batch.column(k)[rows].take(take) for k in keys}
+                    out["start"] = pa.array((got["start"] - tokens.first[got["row"]]).astype(np.int32))
+                    out["windows"] = pa.array(got["windows"].astype(np.int32))
                 yield pa.record_batch(list(out.values()), list(out))
 
     return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with text_key, which tells rows of one doc_id apart (by text); 0 where no doc_id repeats."""
-    doc_id = F.col("doc_id").cast("long")
-    again = docs.select(doc_id.alias("doc_id")).groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
-    return docs.withColumns({"doc_id": doc_id, "text_key": F.xxhash64("text") if again else F.lit(0).cast("long")})
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = [vec.pack(batch.column(c)) if c == "text" else batch.column(c) for c in batch.schema.names]
         yield pa.record_batch(cols, ["packed" if c == "text" else c for c in batch.schema.names])
 
 
-def repeated(docs: DataFrame, unit: str, window: int, gram: int, measures: list[Column], shared: Column, keep: list[str] | None = None) -> tuple[DataFrame, Callable[[bool], DataFrame]]:
-    """The documents (doc_id, text_key, packed, columns ``keep``), and a function that gives the segments at repeated
-    anchors with or without their text.
+@dataclass
+class Repeats:
+    """What the shuffles of this module give.
+
+    packed: the documents (keys, packed text, columns kept), shuffled by keys
+    keys: doc_id, and text_key (a hash of the text) where a doc_id repeats
+    found: anchor, segment, keys, start, windows of every segment at a repeated anchor
+    mixed: anchor, segment, low, piece of the distinct segments of anchors that have several
+    alone: anchor, segment, low, n of the distinct segments that are their anchor's only one
+    """
+
+    packed: DataFrame
+    keys: list[str]
+    found: DataFrame
+    mixed: DataFrame
+    alone: DataFrame
+
 
-    ``shared`` says of an anchor's ``measures`` (over doc_id) whether it can hold a repeat. The packed documents are
-    joined from the left each time, by the same keys, so that they are shuffled once and that shuffle is reused.
+def repeated(docs: DataFrame, unit: str, window: int, gram: int, measures: list[Column], shared: Column, keep: list[str] | None = None) -> Repeats:
+    """``shared`` says of an anchor's ``measures`` (over doc_id) whether it can hold a repeat.
+
+    The packed documents are joined from the left each time, by the same keys, so that one shuffle serves all.
     """
-    source = keyed(docs)
+    doc_id = F.col("doc_id").cast("long")
+    again = docs.select(doc_id.alias("doc_id")).groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
+    keys = ["doc_id", "text_key"] if again else ["doc_id"]
+    source = docs.withColumns({"doc_id": doc_id} | ({"text_key": F.xxhash64("text")} if again else {}))
     keep = list(keep or [])
+    key_kinds = ", ".join(f"{k} long" for k in keys)
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    packed = source.select("doc_id", "text_key", "text", *keep).mapInArrow(_pack, f"doc_id long, text_key long, packed binary{kinds}").repartition("doc_id", "text_key")
-    anchors = source.filter(F.col("doc_id").isNotNull()).select("doc_id", "text_key", "text").mapInArrow(_anchors(unit, window, gram), "anchor long, doc_id long, text_key long")
+    packed = source.select(*keys, "text", *keep).mapInArrow(_pack, f"{key_kinds}, packed binary{kinds}").repartition(*keys)
+    anchors = source.filter(F.col("doc_id").isNotNull()).select(*keys, "text").mapInArrow(_anchors(unit, window, gram, keys), f"anchor long, {key_kinds}")
     hot = anchors.groupBy("anchor").agg(*measures).filter(shared).select("anchor")
-    held = anchors.join(hot, "anchor", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
-    joined = packed.join(held, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "packed", "anchors")
-
-    def found(with_text: bool) -> DataFrame:
-        schema = "anchor long, segment long, doc_id long, text_key long, start int" + ", piece binary" * with_text
-        return joined.mapInArrow(_texts(unit, window, gram, with_text), schema)
-
-    return packed, found
+    held = anchors.join(hot, "anchor", "left_semi").groupBy(*keys).agg(F.collect_set("anchor").alias("wanted"))
+
+    def of(wanted: DataFrame, by: str, with_text: bool) -> DataFrame:
+        joined = packed.join(wanted, keys, "left").select(*keys, "packed", "wanted")
+        schema = "anchor long, segment long, " + ("piece binary" if with_text else f"{key_kinds}, start int, windows int")
+        return joined.mapInArrow(_segments(unit, window, gram, keys, by, with_text), schema)
+
+    found = of(held, "anchor", False)
+    first = F.min("doc_id") if len(keys) == 1 else F.min(F.struct(*keys))
+    distinct = found.groupBy("anchor", "segment").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    low = F.col("first") if len(keys) == 1 else F.col("first.doc_id")
+    counted = distinct.repartition("anchor").withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("anchor")) > 1)
+    alone = counted.filter(~F.col("several")).select("anchor", "segment", low.alias("low"), "n")
+    several = counted.filter("several").select("anchor", "segment", "first", low.alias("low"), "n")
+    # their texts, each from the first document that has it
+    at = [F.col("first").alias("doc_id")] if len(keys) == 1 else [F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")]
+    texts = of(several.select("segment", *at).groupBy(*keys).agg(F.collect_set("segment").alias("wanted")), "segment", True)
+    mixed = several.drop("first").join(texts, ["anchor", "segment"])
+    return Repeats(packed, keys, found, mixed, alone)
 
 
 def by_anchor(batches: Iterator[pa.RecordBatch], columns: list[str], size: str, limit: int) -> Iterator[pa.RecordBatch]:

@@ -90,25 +90,19 @@ class SuffixAutomaton:
 def _shard(window: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in by_anchor(batches, ["anchor", "segment", "low", "piece"], "piece", limit):
-            anchors, lows = shard.column("anchor").to_numpy(), shard.column("low").to_numpy()
+            lows = shard.column("low").to_pylist()
             texts = [x.split(b" ") for x in shard.column("piece").to_pylist()]
-            several = np.ones(len(anchors), bool)  # an anchor with one distinct segment needs no comparison
-            same = anchors[1:] == anchors[:-1]
-            several[:] = False
-            several[1:] |= same
-            several[:-1] |= same
             automaton = SuffixAutomaton()
-            for k in np.flatnonzero(several):
-                automaton.add(texts[k])
+            for text in texts:
+                automaton.add(text)
             first: dict[int, int] = {}
-            ends = {}
-            for k in np.flatnonzero(several):
-                ends[k] = [state for matched, state in automaton.statistics(texts[k], window) if matched >= window]
-                low = int(lows[k])
-                for state in ends[k]:
+            ends = []
+            for text, low in zip(texts, lows, strict=True):
+                ends.append([state for matched, state in automaton.statistics(text, window) if matched >= window])
+                for state in ends[-1]:
                     if first.get(state, low) >= low:
                         first[state] = low
-            least = [[first[s] for s in ends[k]] if k in ends else [int(lows[k])] * (len(texts[k]) - window + 1) for k in range(len(texts))]
+            least = [[first[s] for s in own] for own in ends]
             yield pa.record_batch([shard.column("anchor"), shard.column("segment"), pa.array(least, pa.list_(pa.int64()))], ["anchor", "segment", "least"])
 
     return run
@@ -142,14 +136,15 @@ def _cut(window: int):
 
 def remove_earlier_passages(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = ANCHOR_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text: without words of windows that start in a smaller doc_id."""
-    source, found = repeated(docs, "word", window, gram, [F.min("doc_id").alias("low"), F.max("doc_id").alias("high")], F.col("low") < F.col("high"))
-    distinct = found(True).groupBy("anchor", "segment").agg(F.min("doc_id").alias("low"), F.first("piece").alias("piece"))
-    least = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard(window, shard_bytes), "anchor long, segment long, least array<bigint>")
-    starts = F.expr("filter(transform(least, (x, i) -> if(x < doc_id, start + i, -1)), x -> x >= 0)")
-    hits = found(False).join(least, ["anchor", "segment"]).select("doc_id", "text_key", starts.alias("hits")).filter(F.size("hits") > 0)
-    hits = hits.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
+    got = repeated(docs, "word", window, gram, [F.min("doc_id").alias("low"), F.max("doc_id").alias("high")], F.col("low") < F.col("high"))
+    mixed = got.mixed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard(window, shard_bytes), "anchor long, segment long, least array<bigint>")
+    # the first word of each window and the smallest document that has it; one value serves all windows of a lone segment
+    least = got.alone.select("anchor", "segment", F.array("low").alias("least")).union(mixed)
+    starts = F.expr("filter(transform(sequence(0, windows - 1), i -> if(least[if(size(least) = 1, 0, i)] < doc_id, start + i, -1)), x -> x >= 0)")
+    hits = got.found.join(least, ["anchor", "segment"]).select(*got.keys, starts.alias("hits")).filter(F.size("hits") > 0)
+    hits = hits.groupBy(*got.keys).agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return source.join(hits, ["doc_id", "text_key"], "left").select("doc_id", "packed", "hits").mapInArrow(_cut(window), schema)
+    return got.packed.join(hits, got.keys, "left").select("doc_id", "packed", "hits").mapInArrow(_cut(window), schema)
 
 
 def remove_reference_spans(docs: DataFrame, reference: DataFrame, min_words: int = WINDOW_WORDS, shard_words: int = 50_000, max_words: int = REFERENCE_WORDS) -> DataFrame:

@@ -190,18 +190,8 @@ def _runs(flags: np.ndarray) -> np.ndarray:
 def _shard(window: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in by_anchor(batches, ["anchor", "segment", "n", "piece"], "piece", limit):
-            anchors, n = shard.column("anchor").to_numpy(), shard.column("n").to_numpy()
-            pieces = shard.column("piece").to_pylist()
-            several = np.zeros(len(anchors), bool)  # an anchor with one distinct segment needs no comparison
-            same = anchors[1:] == anchors[:-1]
-            several[1:] |= same
-            several[:-1] |= same
-            spans = [np.array([0, len(x) - window + 1], np.int32) if k > 1 else np.zeros(0, np.int32) for x, k in zip(pieces, n, strict=True)]
-            mixed = np.flatnonzero(several)
-            if len(mixed):
-                for k, flags in zip(mixed, repeats([pieces[k] for k in mixed], window), strict=True):
-                    if n[k] == 1:
-                        spans[k] = _runs(flags)
+            pieces, n = shard.column("piece").to_pylist(), shard.column("n").to_pylist()
+            spans = [np.array([0, len(x) - window + 1], np.int32) if k > 1 else _runs(flags) for x, k, flags in zip(pieces, n, repeats(pieces, window), strict=True)]
             keep = np.flatnonzero([len(x) > 0 for x in spans])
             yield pa.record_batch([shard.column("anchor").take(pa.array(keep)), shard.column("segment").take(pa.array(keep)), pa.array([spans[k] for k in keep], pa.list_(pa.int32()))], ["anchor", "segment", "spans"])
 
@@ -242,14 +232,15 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW_BYTES, gram: int
     """doc_id, columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256, kept_text: without bytes of strings of
     ``window`` bytes that start elsewhere too. The digest is of all kept bytes; kept_text leaves out cut characters."""
     keep = list(keep or [])
-    source, found = repeated(docs, "byte", window, gram, [F.count(F.lit(1)).alias("n")], F.col("n") > 1, keep)
-    distinct = found(True).groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), F.first("piece").alias("piece"))
-    spans = distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard(window, shard_bytes), "anchor long, segment long, spans array<int>")
-    own = F.expr("transform(spans, (x, i) -> if(i % 2 = 0, x + start, x))")
-    hits = found(False).join(spans, ["anchor", "segment"]).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(own)).alias("hits"))
+    got = repeated(docs, "byte", window, gram, [F.count(F.lit(1)).alias("n")], F.col("n") > 1, keep)
+    mixed = got.mixed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard(window, shard_bytes), "anchor long, segment long, spans array<int>")
+    # pairs of first window and number of windows; an empty list stands for all windows of a lone segment
+    spans = got.alone.filter("n > 1").select("anchor", "segment", F.array().cast("array<int>").alias("spans")).union(mixed)
+    own = F.expr("if(size(spans) = 0, array(start, windows), transform(spans, (x, i) -> if(i % 2 = 0, x + start, x)))")
+    hits = got.found.join(spans, ["anchor", "segment"]).groupBy(*got.keys).agg(F.flatten(F.collect_list(own)).alias("hits"))
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     schema = f"doc_id long, {kinds}n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return source.join(hits, ["doc_id", "text_key"], "left").select("doc_id", *keep, "packed", "hits").mapInArrow(_cut(window, keep), schema)
+    return got.packed.join(hits, got.keys, "left").select("doc_id", *keep, "packed", "hits").mapInArrow(_cut(window, keep), schema)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
