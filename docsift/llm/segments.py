@@ -4,14 +4,14 @@ A window is ``window`` consecutive tokens (words or bytes) of one document. Its
 ``gram`` tokens in it, the first of equals, so that equal windows have equal anchors wherever they stand.
 Consecutive windows that share one anchor position form a segment. Three shuffles follow:
 
-1. (anchor, document) pairs are counted by anchor; an anchor that one document alone has can't hold a repeat.
+1. (anchor, document) pairs meet by anchor, packed; an anchor that one document alone has can't hold a repeat.
 2. Documents that hold repeated anchors give the hashes of those segments; equal segments become one row
    (with their number and smallest document), before anything else moves.
 3. Where an anchor has several distinct segments, their texts, each from one document, meet in one shard, where an
    exact structure (the caller's) compares them.
 
-What shards find goes back to the documents by segment. No step collects a document's partners, and the rows of
-step 1 are 24 bytes for about every (window - gram) / 2 tokens. Documents are shuffled once, each text compressed.
+What shards find goes back to the documents by segment. No step collects a document's partners; there is an anchor for
+about every (window - gram) / 2 tokens. Documents are shuffled once, each text compressed.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
+from .shared import persisted
 
 
 class Tokens:
@@ -71,13 +72,83 @@ class Tokens:
         return {"row": row[begin], "start": start, "windows": windows, "anchor": anchor, "segment": whole}
 
 
-def _anchors(unit: str, window: int, gram: int, keys: list[str]) -> Callable:
+def _blob(columns: list[np.ndarray], rows: np.ndarray) -> bytes:
+    """Longs of some rows, column by column and, within a column, byte plane by byte plane, which shuffles well."""
+    return b"".join(np.ascontiguousarray(c[rows]).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+
+
+def _unblob(blob: bytes, columns: int) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(columns, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64)[:, :, 0]
+
+
+def _ask(unit: str, window: int, gram: int, keys: list[str], apart: bool, buckets: int) -> Callable:
+    """Rows (bucket, known, pairs): pairs of an anchor and a document that ask the anchor's bucket whether it repeats.
+
+    An anchor that repeats within the piece is known to: two of its pairs still go to its bucket, for the others to
+    learn of it, and all of them to a bucket of the piece, so that a frequent anchor's pairs do not gather.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in vec.pieces(batch.column("text")):
                 got = Tokens(buf, off, unit).segments(window, gram)
-                take = pa.array(got["row"])
-                yield pa.record_batch([vec.longs(got["anchor"]), *(batch.column(k)[rows].take(take) for k in keys)], ["anchor", *keys])
+                if not len(got["row"]):
+                    continue
+                columns = [got["anchor"].view(np.int64), *(batch.column(k)[rows].to_numpy()[got["row"]] for k in keys)]
+                order = np.lexsort((columns[1], columns[0]))
+                columns = [c[order] for c in columns]
+                new = np.r_[True, columns[0][1:] != columns[0][:-1]]
+                begin = np.flatnonzero(new)
+                end = np.append(begin[1:], len(new)) - 1
+                several = columns[1][begin] != columns[1][end] if apart else end > begin
+                known = np.repeat(several, end - begin + 1)
+                lone = ~known
+                if apart and len(keys) == 1:  # one pair stands for all of a document's
+                    lone &= new
+                lone[begin[several]] = True
+                lone[end[several]] = True
+                ask = np.flatnonzero(lone)
+                bucket = (columns[0][ask].view(np.uint64) >> np.uint64(20)).astype(np.int64) % buckets
+                ask = ask[np.argsort(bucket, kind="stable")]
+                bucket = np.sort(bucket)
+                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+                blobs = [_blob(columns, ask[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+                at, is_known = bucket[cuts[:-1]].tolist(), [False] * len(blobs)
+                if known.any():
+                    blobs.append(_blob(columns, np.flatnonzero(known)))
+                    at.append(int(columns[0][0]) % buckets)
+                    is_known.append(True)
+                yield pa.record_batch([pa.array(at, pa.int32()), pa.array(is_known), pa.array(blobs, pa.binary())], ["bucket", "known", "pairs"])
+
+    return run
+
+
+def _answer(keys: list[str], apart: bool) -> Callable:
+    """Rows (keys, wanted): the repeated anchors that a document asked about in this task's buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, found = [], []
+        for batch in batches:
+            for known, blob in zip(batch.column("known").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+                (found if known else asked).append(_unblob(blob, 1 + len(keys)))
+        if asked:
+            pairs = np.concatenate(asked, axis=1)
+            asked.clear()
+            pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+            begin = np.flatnonzero(np.r_[True, pairs[0, 1:] != pairs[0, :-1]])
+            end = np.append(begin[1:], pairs.shape[1]) - 1
+            several = pairs[1, begin] != pairs[1, end] if apart else end > begin
+            found.append(pairs[:, np.repeat(several, end - begin + 1)])
+        if not found:
+            return
+        pairs = np.concatenate(found, axis=1)
+        pairs = pairs[:, np.lexsort(pairs[1:][::-1])]
+        cuts = np.flatnonzero(np.r_[True, (pairs[1:, 1:] != pairs[1:, :-1]).any(axis=0), True]) if pairs.shape[1] else np.zeros(1, np.int64)
+        for k in range(0, len(cuts) - 1, 100_000):
+            part = cuts[k : k + 100_001]
+            own = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(pairs[0, part[0] : part[-1]]))
+            yield pa.record_batch([*(pa.array(c[part[:-1]]) for c in pairs[1:]), own], [*keys, "wanted"])
 
     return run
 
@@ -91,8 +162,14 @@ def _segments(unit: str, window: int, gram: int, keys: list[str], by: str, with_
             for rows, buf, off in vec.pieces(vec.unpack(batch.column("packed"))):
                 tokens = Tokens(buf, off, unit)
                 got = tokens.segments(window, gram)
-                wanted = np.unique(vec.lists(batch.column("wanted")[rows])[0]).view(np.uint64)
-                keep = np.flatnonzero(np.isin(got[by], wanted))
+                values, bounds = vec.lists(batch.column("wanted")[rows])
+                # hashes are looked up with their row
+                salt = vec.mix(np.arange(1, len(off), dtype=np.uint64))
+                wanted = vec.mix(values.view(np.uint64) ^ np.repeat(salt, np.diff(bounds)))
+                own = vec.mix(got[by] ^ salt[got["row"]])
+                keep = np.flatnonzero(np.isin(own, wanted))
+                if with_text:
+                    keep = keep[np.unique(own[keep], return_index=True)[1]]
                 got = {k: v[keep] for k, v in got.items()}
                 take = pa.array(got["row"])
                 out = {"anchor": vec.longs(got["anchor"]), "segment": vec.longs(got["segment"])}
@@ -131,8 +208,8 @@ class Repeats:
     alone: DataFrame
 
 
-def repeated(docs: DataFrame, unit: str, window: int, gram: int, measures: list[Column], shared: Column, keep: list[str] | None = None) -> Repeats:
-    """``shared`` says of an anchor's ``measures`` (over doc_id) whether it can hold a repeat.
+def repeated(docs: DataFrame, unit: str, window: int, gram: int, apart: bool, keep: list[str] | None = None) -> Repeats:
+    """``apart``: only windows of different doc_ids count as repeats.
 
     The packed documents are joined from the left each time, by the same keys, so that one shuffle serves all.
     """
@@ -144,9 +221,10 @@ def repeated(docs: DataFrame, unit: str, window: int, gram: int, measures: list[
     key_kinds = ", ".join(f"{k} long" for k in keys)
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     packed = source.select(*keys, "text", *keep).mapInArrow(_pack, f"{key_kinds}, packed binary{kinds}").repartition(*keys)
-    anchors = source.filter(F.col("doc_id").isNotNull()).select(*keys, "text").mapInArrow(_anchors(unit, window, gram, keys), f"anchor long, {key_kinds}")
-    hot = anchors.groupBy("anchor").agg(*measures).filter(shared).select("anchor")
-    held = anchors.join(hot, "anchor", "left_semi").groupBy(*keys).agg(F.collect_set("anchor").alias("wanted"))
+    buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = source.filter(F.col("doc_id").isNotNull()).select(*keys, "text").mapInArrow(_ask(unit, window, gram, keys, apart, buckets), "bucket int, known boolean, pairs binary")
+    held = asked.repartition("bucket").select("known", "pairs").mapInArrow(_answer(keys, apart), f"{key_kinds}, wanted array<bigint>")
+    held = held.groupBy(*keys).agg(F.flatten(F.collect_list("wanted")).alias("wanted"))
 
     def of(wanted: DataFrame, by: str, with_text: bool) -> DataFrame:
         joined = packed.join(wanted, keys, "left").select(*keys, "packed", "wanted")
@@ -157,7 +235,7 @@ def repeated(docs: DataFrame, unit: str, window: int, gram: int, measures: list[
     first = F.min("doc_id") if len(keys) == 1 else F.min(F.struct(*keys))
     distinct = found.groupBy("anchor", "segment").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
     low = F.col("first") if len(keys) == 1 else F.col("first.doc_id")
-    counted = distinct.repartition("anchor").withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("anchor")) > 1)
+    counted = persisted(distinct.repartition("anchor").withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("anchor")) > 1))
     alone = counted.filter(~F.col("several")).select("anchor", "segment", low.alias("low"), "n")
     several = counted.filter("several").select("anchor", "segment", "first", low.alias("low"), "n")
     # their texts, each from the first document that has it

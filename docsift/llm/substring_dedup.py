@@ -136,7 +136,7 @@ def _cut(window: int):
 
 def remove_earlier_passages(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = ANCHOR_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text: without words of windows that start in a smaller doc_id."""
-    got = repeated(docs, "word", window, gram, [F.min("doc_id").alias("low"), F.max("doc_id").alias("high")], F.col("low") < F.col("high"))
+    got = repeated(docs, "word", window, gram, apart=True)
     mixed = got.mixed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard(window, shard_bytes), "anchor long, segment long, least array<bigint>")
     # the first word of each window and the smallest document that has it; one value serves all windows of a lone segment
     least = got.alone.select("anchor", "segment", F.array("low").alias("least")).union(mixed)

@@ -232,7 +232,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW_BYTES, gram: int
     """doc_id, columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256, kept_text: without bytes of strings of
     ``window`` bytes that start elsewhere too. The digest is of all kept bytes; kept_text leaves out cut characters."""
     keep = list(keep or [])
-    got = repeated(docs, "byte", window, gram, [F.count(F.lit(1)).alias("n")], F.col("n") > 1, keep)
+    got = repeated(docs, "byte", window, gram, apart=False, keep=keep)
     mixed = got.mixed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard(window, shard_bytes), "anchor long, segment long, spans array<int>")
     # pairs of first window and number of windows; an empty list stands for all windows of a lone segment
     spans = got.alone.filter("n > 1").select("anchor", "segment", F.array().cast("array<int>").alias("spans")).union(mixed)
