@@ -124,8 +124,8 @@ def _ask(unit: str, window: int, gram: int, keys: list[str], apart: bool, bucket
     return run
 
 
-def _answer(keys: list[str], apart: bool) -> Callable:
-    """Rows (keys, wanted): the repeated anchors that a document asked about in this task's buckets."""
+def _answer(keys: list[str], apart: bool, buckets: int) -> Callable:
+    """Rows (home, pairs): the pairs of repeated anchors, packed by a bucket of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, found = [], []
@@ -140,15 +140,39 @@ def _answer(keys: list[str], apart: bool) -> Callable:
             end = np.append(begin[1:], pairs.shape[1]) - 1
             several = pairs[1, begin] != pairs[1, end] if apart else end > begin
             found.append(pairs[:, np.repeat(several, end - begin + 1)])
-        if not found:
-            return
-        pairs = np.concatenate(found, axis=1)
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((1 + len(keys), 0), np.int64)
+        if pairs.shape[1]:
+            home = (vec.mix(pairs[1].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((pairs[1], home))
+            home, columns = home[order], list(pairs[:, order])
+            cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1], True])
+            blobs = [_blob(columns, np.arange(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.record_batch([pa.array(home[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["home", "pairs"])
+
+    return run
+
+
+def _unpack(keys: list[str]) -> Callable:
+    """Rows (keys, wanted): each document's repeated anchors; rows must come sorted by home."""
+
+    def documents(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        pairs = np.concatenate([_unblob(x, 1 + len(keys)) for x in blobs], axis=1)
         pairs = pairs[:, np.lexsort(pairs[1:][::-1])]
-        cuts = np.flatnonzero(np.r_[True, (pairs[1:, 1:] != pairs[1:, :-1]).any(axis=0), True]) if pairs.shape[1] else np.zeros(1, np.int64)
-        for k in range(0, len(cuts) - 1, 100_000):
-            part = cuts[k : k + 100_001]
-            own = pa.ListArray.from_arrays(pa.array((part - part[0]).astype(np.int32)), pa.array(pairs[0, part[0] : part[-1]]))
-            yield pa.record_batch([*(pa.array(c[part[:-1]]) for c in pairs[1:]), own], [*keys, "wanted"])
+        cuts = np.flatnonzero(np.r_[True, (pairs[1:, 1:] != pairs[1:, :-1]).any(axis=0), True])
+        own = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(pairs[0]))
+        yield pa.record_batch([*(pa.array(c[cuts[:-1]]) for c in pairs[1:]), own], [*keys, "wanted"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            for home, blob in zip(batch.column("home").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+                if home != at and held:
+                    yield from documents(held)
+                    held = []
+                at = home
+                held.append(blob)
+        if held:
+            yield from documents(held)
 
     return run
 
@@ -223,8 +247,8 @@ def repeated(docs: DataFrame, unit: str, window: int, gram: int, apart: bool, ke
     packed = source.select(*keys, "text", *keep).mapInArrow(_pack, f"{key_kinds}, packed binary{kinds}").repartition(*keys)
     buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     asked = source.filter(F.col("doc_id").isNotNull()).select(*keys, "text").mapInArrow(_ask(unit, window, gram, keys, apart, buckets), "bucket int, known boolean, pairs binary")
-    held = asked.repartition("bucket").select("known", "pairs").mapInArrow(_answer(keys, apart), f"{key_kinds}, wanted array<bigint>")
-    held = held.groupBy(*keys).agg(F.flatten(F.collect_list("wanted")).alias("wanted"))
+    held = asked.repartition("bucket").select("known", "pairs").mapInArrow(_answer(keys, apart, buckets), "home int, pairs binary")
+    held = held.repartition("home").sortWithinPartitions("home").mapInArrow(_unpack(keys), f"{key_kinds}, wanted array<bigint>")
 
     def of(wanted: DataFrame, by: str, with_text: bool) -> DataFrame:
         joined = packed.join(wanted, keys, "left").select(*keys, "packed", "wanted")
@@ -249,19 +273,20 @@ def by_anchor(batches: Iterator[pa.RecordBatch], columns: list[str], size: str,
     """Whole anchors, gathered until ``size`` bytes of a column pass ``limit``; rows must come sorted by anchor."""
     held: list[pa.RecordBatch] = []
     total = 0
-    for batch in batches:
-        batch = batch.select(columns)
-        anchors = batch.column("anchor").to_numpy()
-        if held and len(anchors) and total > limit and held[-1].num_rows:
-            same = int(np.searchsorted(anchors != held[-1].column("anchor")[-1].as_py(), True))
-            held.append(batch.slice(0, same))
-            if same < len(anchors):
+    for whole in batches:
+        whole = whole.select(columns)
+        step = max(1, int(whole.num_rows * limit / (2 * max(1, whole.column(size).nbytes))))
+        for k in range(0, whole.num_rows, step):
+            batch = whole.slice(k, step)
+            if held and total > limit:
+                same = batch.column("anchor").to_numpy() == held[-1].column("anchor")[-1].as_py()
+                n = len(same) if same.all() else int(np.argmin(same))
+                held.append(batch.slice(0, n))
+                if n == len(same):
+                    continue
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, total, batch = [], 0, batch.slice(same)
-            else:
-                continue
-        held.append(batch)
-        total += batch.column(size).nbytes
-    held = [x for x in held if x.num_rows]
+                held, total, batch = [], 0, batch.slice(n)
+            held.append(batch)
+            total += batch.column(size).nbytes
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -27,9 +27,10 @@ from . import vec
 from .segments import by_anchor, repeated
 
 WINDOW_BYTES = 400
-ANCHOR_BYTES = 16
+#: Long, so that a line which many documents share is no anchor unless the window around it may be shared too.
+ANCHOR_BYTES = 200
 #: Bytes of segments that a shard sorts at once.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 #: Bytes of queued suffixes that stay in memory.
 QUEUE_BYTES = 64 << 20
 

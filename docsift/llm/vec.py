@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import zstandard
 
 #: Bytes of text handled at once; a longer single row is handled alone.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 768 << 10
 
 _TABLE = np.random.default_rng(20240613).integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
