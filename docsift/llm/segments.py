@@ -247,7 +247,7 @@ def repeated(docs: DataFrame, unit: str, window: int, gram: int, apart: bool, ke
     packed = source.select(*keys, "text", *keep).mapInArrow(_pack, f"{key_kinds}, packed binary{kinds}").repartition(*keys)
     buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     asked = source.filter(F.col("doc_id").isNotNull()).select(*keys, "text").mapInArrow(_ask(unit, window, gram, keys, apart, buckets), "bucket int, known boolean, pairs binary")
-    held = asked.repartition("bucket").select("known", "pairs").mapInArrow(_answer(keys, apart, buckets), "home int, pairs binary")
+    held = asked.repartition("bucket").select("known", "pairs").mapInArrow(_answer(keys, apart, buckets // 4), "home int, pairs binary")
     held = held.repartition("home").sortWithinPartitions("home").mapInArrow(_unpack(keys), f"{key_kinds}, wanted array<bigint>")
 
     def of(wanted: DataFrame, by: str, with_text: bool) -> DataFrame:

@@ -26,7 +26,7 @@ from .segments import by_anchor, repeated
 WINDOW_WORDS = 13
 ANCHOR_WORDS = 6
 #: Bytes of segments in one shard's automaton.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 512 << 10
 #: Words of a reference that may be broadcast.
 REFERENCE_WORDS = 2_000_000
 

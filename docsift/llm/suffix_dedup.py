@@ -30,7 +30,7 @@ WINDOW_BYTES = 400
 #: Long, so that a line which many documents share is no anchor unless the window around it may be shared too.
 ANCHOR_BYTES = 200
 #: Bytes of segments that a shard sorts at once.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 512 << 10
 #: Bytes of queued suffixes that stay in memory.
 QUEUE_BYTES = 64 << 20
 
