@@ -63,8 +63,23 @@ class Spark:
     def first(self, a: str) -> str:
         return f"get({a}, 0)"
 
-    def join(self, a: str) -> str:
-        return f"array_join({a}, ' ')"
+    def join(self, a: str, by: str = " ") -> str:
+        return f"array_join({a}, '{by}')"
+
+    def sub(self, t: str, p: str, to: str = "") -> str:
+        return f"regexp_replace({t}, {self.lit(p)}, '{to}')"
+
+    def lines(self, t: str) -> str:
+        return f"split({t}, chr(10), -1)"
+
+    def sorted(self, a: str) -> str:
+        return f"array_sort({a})"
+
+    def take(self, a: str, n: int) -> str:
+        return f"slice({a}, 1, {n})"
+
+    def upto(self, n: str) -> str:
+        return f"sequence(1, {n})"
 
     def has(self, a: str, x: str) -> str:
         return f"array_contains({a}, '{x}')"
@@ -113,8 +128,23 @@ class DuckDB(Spark):
     def first(self, a: str) -> str:
         return f"({a})[1]"
 
-    def join(self, a: str) -> str:
-        return f"array_to_string({a}, ' ')"
+    def join(self, a: str, by: str = " ") -> str:
+        return f"array_to_string({a}, '{by}')"
+
+    def sub(self, t: str, p: str, to: str = "") -> str:
+        return f"regexp_replace({t}, '{p}', '{to}', 'g')"
+
+    def lines(self, t: str) -> str:
+        return f"string_split({t}, chr(10))"
+
+    def sorted(self, a: str) -> str:
+        return f"list_sort({a})"
+
+    def take(self, a: str, n: int) -> str:
+        return f"list_slice({a}, 1, {n})"
+
+    def upto(self, n: str) -> str:
+        return f"range(1, {n} + 1)"
 
     def has(self, a: str, x: str) -> str:
         return f"list_contains({a}, '{x}')"

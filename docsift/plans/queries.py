@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from docsift.functions import lexicons as lx
 from docsift.functions import text as tx
-from docsift.plans import feature_queries
+from docsift.plans import feature_queries, record_queries
 from docsift.operators.sections import ALIASES, section_lines
 from docsift.plans.resumes import DUCKDB, resumes
 
 FLAGSHIP = "qs_candidate_readiness"
-QUERIES: dict = dict(feature_queries.QUERIES)
-ORACLES: dict[str, str] = dict(feature_queries.ORACLES)
+QUERIES: dict = feature_queries.QUERIES | record_queries.QUERIES
+ORACLES: dict[str, str] = feature_queries.ORACLES | record_queries.ORACLES
 
 
 def _query(oracle: str | None = None):
