@@ -3,7 +3,10 @@
 A rule, longest first, decides every url it fits. All other pages follow their host: hosts with more pages allowed than
 blocked by rules are trusted seeds, those with more blocked are distrusted ones. Personalised PageRank carries trust
 along links and distrust against them, over the distinct host edges found in the pages' html; a host is blocked if its
-distrust exceeds ``threshold`` and its trust.
+distrust exceeds ``threshold`` and its trust. Each round moves the mass that the one before brought, until all that can
+still come, by the damping at most damping / (1 - damping) of what moved last, is below ``tolerance``.
+
+The SQL stops after ROUNDS rounds and finds no links without a scheme: it gives these rows where the links end sooner.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is allowed unless its (empty) host
 is blocked by the graph, which no link reaches; a null html has no links; repeated rows count once a row as pages, once
@@ -20,10 +23,12 @@ from .shared import persisted
 #: (verdict, host, path prefix)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 DAMPING = 0.85
+#: Of the SQL.
 ROUNDS = 8
+TOLERANCE = 1e-6
 THRESHOLD = 0.05
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"[hH][tT][tT][pP][sS]?://([^/?#\"'<>\x00-\x20]+)"
+_LINK = r"(?:[hH][tT][tT][pP][sS]?:|[\"'=(][\x09-\x20]*)//([^/?#\"'<>\x00-\x20]+)"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -43,7 +48,7 @@ def match_rule(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def host_scores(judged: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def host_scores(judged: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = 400) -> DataFrame:
     """host, trust, distrust from pages with host, rule_verdict and html."""
     links = F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), F.lit(1)), lambda x: F.translate(x, _UPPER, _LOWER))
     pages = judged.filter("host <> ''")
@@ -55,24 +60,30 @@ def host_scores(judged: DataFrame, damping: float = DAMPING, rounds: int = ROUND
     lean = F.sum(F.when(F.col("rule_verdict") == "allow", 1).when(F.col("rule_verdict") == "block", -1).otherwise(0))
     seeds = pages.groupBy("host").agg(lean.alias("lean")).filter("lean <> 0")
     seeds = persisted(seeds.select(F.when(F.col("lean") > 0, "trust").otherwise("distrust").alias("kind"), "host", F.lit(1 - damping).alias("mass")))
-    rank = seeds
+    rank = seeds.withColumn("new", F.col("mass"))
     for k in range(rounds):
-        flow = rank.withColumnRenamed("host", "src").join(both, ["kind", "src"])
-        flow = flow.select("kind", F.col("dst").alias("host"), (F.col("mass") * damping / F.col("degree")).alias("mass"))
-        rank = seeds.union(flow).groupBy("kind", "host").agg(F.round(F.sum("mass"), 12).alias("mass"))
+        flow = rank.filter("new > 0").withColumnRenamed("host", "src").join(both, ["kind", "src"])
+        flow = flow.select("kind", F.col("dst").alias("host"), (F.col("new") * damping / F.col("degree")).alias("mass"))
+        moved = rank.withColumn("new", F.lit(0.0)).union(flow.withColumn("new", F.col("mass")))
+        rank = moved.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("new").alias("new"))
         if k % 4 == 3:
             rank = persisted(rank)
+            if (rank.agg(F.sum("new")).first()[0] or 0.0) * damping / (1 - damping) < tolerance:
+                break
+    else:
+        raise RuntimeError(f"mass still moves after {rounds} rounds")
+    rank = rank.withColumn("mass", F.round("mass", 12))
     mass = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0)).alias(kind)
     return rank.groupBy("host").agg(mass("trust"), mass("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page."""
     host, path = split_url(F.col("url"))
     rule, verdict = match_rule(rules)
     split = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     judged = split.withColumns({"rule": rule, "rule_verdict": verdict})
-    scores = host_scores(judged.select("host", "html", "rule_verdict"), damping, rounds).withColumnRenamed("host", "of_host")
+    scores = host_scores(judged.select("host", "html", "rule_verdict"), damping, tolerance).withColumnRenamed("host", "of_host")
     bad = scores.select("of_host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     out = judged.drop("html").join(bad, F.col("host") == F.col("of_host"), "left")
     by_graph = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
