@@ -6,7 +6,9 @@ largest share first, proportions are fitted by expectation-maximisation, and the
 a log(words) for each further language is taken. The language with the largest proportion is predicted.
 
 Trigram counts come from at most ``max_train`` labelled rows, the first by a hash of doc_id. Defined results: ``und``
-with score 0 if the text is null or has no letter, or if nothing was learned; ties go to the smaller language name.
+with score 0 if the text is null or has no letter, or if nothing was learned; ties go to the smaller language name; a row
+without doc_id is predicted, never learnt from; repeated rows count each time and get equal predictions; an empty table
+gives an empty result; other columns are not read. The set grows, largest share first, as long as that helps.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from . import vec
 
 GRAM_BITS = 16
 MAX_TRAIN = 20_000
-MAX_SET = 4
 ROUNDS = 8
 SMOOTHING = 0.5
 
@@ -76,7 +77,7 @@ def train(docs: DataFrame, bits: int = GRAM_BITS, max_train: int = MAX_TRAIN) ->
             at = np.flatnonzero(counts)
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "at", "n"])
 
-    got = rows.join(chosen, "doc_id", "left_semi").select("text", "lang").mapInArrow(run, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang").mapInArrow(run, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
     table = np.full((1 << bits, len(langs)), SMOOTHING)
     for k, lang in enumerate(langs):
@@ -93,7 +94,7 @@ def _fit(p: np.ndarray, row: np.ndarray, starts: np.ndarray, n: np.ndarray, pi:
     return pi, np.add.reduceat(np.log((p * pi[row]).sum(1) + 1e-30, dtype=np.float64), starts)
 
 
-def infer(buf: np.ndarray, off: np.ndarray, table: np.ndarray, bits: int, rounds: int = ROUNDS, max_set: int = MAX_SET) -> tuple[np.ndarray, np.ndarray]:
+def infer(buf: np.ndarray, off: np.ndarray, table: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of each row's languages (zero without words) and the size of the set taken."""
     rows, k = len(off) - 1, table.shape[1]
     share, taken = np.zeros((rows, k), np.float32), np.zeros(rows, np.int64)
@@ -110,12 +111,16 @@ def infer(buf: np.ndarray, off: np.ndarray, table: np.ndarray, bits: int, rounds
     order = np.argsort(-full, axis=1, kind="stable")
     place = np.argsort(order, axis=1, kind="stable")
     best = np.full(len(held), -np.inf)
-    for size in range(1, min(k, max_set) + 1):
+    growing = np.ones(len(held), bool)
+    for size in range(1, k + 1):
         inside = place < size
         pi = np.where(inside, np.maximum(full, 1e-6), 0).astype(np.float32)
         pi, ll = _fit(p, row, starts, n, pi / pi.sum(1, keepdims=True), rounds if size > 1 else 1)
         ll -= 0.5 * (size - 1) * np.log(n + 1)
-        better = ll > best
+        growing &= ll > best
+        if not growing.any():
+            break
+        better = growing
         best[better] = ll[better]
         share[held[better]] = pi[better]
         taken[held[better]] = size
