@@ -212,8 +212,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLA
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no test item. Rows are known by doc_id, null like any other,
     and text, so that only those of several texts with one doc_id go that hold an item."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("bad_id"), "text_key").distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("text_key")), "left_anti")
+    bad = leaks(docs, benchmark).select("doc_id", "text_key").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    return rows.join(bad, rows["doc_id"].eqNullSafe(bad["doc_id"]) & (rows["text_key"] == bad["text_key"]), "left_anti").select("row.*")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ value, so that a score is a sparse dot product that does not depend on length.
 
 The model is fitted in one task on at most ``max_train`` labelled rows, the first by a hash of doc_id; everything else
 sees all rows. Defined results: a null or empty text scores the model's bias; without labels all scores are 0.5;
-repeated label rows of one doc_id count once, with the lowest label; rows without doc_id are scored, never learnt from.
+repeated label rows of one doc_id count once, with the lowest label, and of its several texts the one of least hash;
+rows without doc_id are scored, never learnt from.
 """
 
 from __future__ import annotations
@@ -85,7 +86,8 @@ def train_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", max_t
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id is not null and label is not null")
     usable = usable.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "text", "label")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "label")
 
 
 def train(rows: DataFrame, bits: int = BUCKET_BITS, epochs: int = EPOCHS) -> np.ndarray:

@@ -218,7 +218,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Repeats:
     """What the shuffles of this module give.
 
-    packed: the documents (keys, packed text, columns kept), shuffled by keys
+    packed: the documents (keys, packed text, and the whole row if it is kept), shuffled by keys
     keys: doc_id, and text_key (a hash of the text) where a doc_id repeats
     found: anchor, segment, keys, start, windows of every segment at a repeated anchor
     mixed: anchor, segment, low, piece of the distinct segments of anchors that have several
@@ -233,18 +233,19 @@ class Repeats:
 
 
 def repeated(docs: DataFrame, unit: str, window: int, gram: int, apart: bool, keep: list[str] | None = None) -> Repeats:
-    """``apart``: only windows of different doc_ids count as repeats.
+    """``apart``: only windows of different doc_ids count as repeats. ``keep``: columns that go along in the struct
+    ``row``, under their own names, so that none can clash with a column of this module.
 
     The packed documents are joined from the left each time, by the same keys, so that one shuffle serves all.
     """
     doc_id = F.col("doc_id").cast("long")
     again = docs.select(doc_id.alias("doc_id")).groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
     keys = ["doc_id", "text_key"] if again else ["doc_id"]
-    source = docs.withColumns({"doc_id": doc_id} | ({"text_key": F.xxhash64("text")} if again else {}))
-    keep = list(keep or [])
+    row = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
+    source = docs.select(doc_id.alias("doc_id"), "text", *row, *([F.xxhash64("text").alias("text_key")] if again else []))
     key_kinds = ", ".join(f"{k} long" for k in keys)
-    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    packed = source.select(*keys, "text", *keep).mapInArrow(_pack, f"{key_kinds}, packed binary{kinds}").repartition(*keys)
+    kinds = f", row {source.schema['row'].dataType.simpleString()}" if keep else ""
+    packed = source.select(*keys, "text", *(["row"] if keep else [])).mapInArrow(_pack, f"{key_kinds}, packed binary{kinds}").repartition(*keys)
     buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     asked = source.filter(F.col("doc_id").isNotNull()).select(*keys, "text").mapInArrow(_ask(unit, window, gram, keys, apart, buckets), "bucket int, known boolean, pairs binary")
     held = asked.repartition("bucket").select("known", "pairs").mapInArrow(_answer(keys, apart, buckets // 4), "home int, pairs binary")

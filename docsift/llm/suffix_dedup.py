@@ -199,7 +199,7 @@ def _shard(window: int, limit: int):
     return run
 
 
-def _cut(window: int, keep: list[str]):
+def _cut(window: int, whole: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in vec.pieces(vec.unpack(batch.column("packed"))):
@@ -222,28 +222,29 @@ def _cut(window: int, keep: list[str]):
                     kept.append(buf[a:b][~gone[a:b]].tobytes() if removed[k] else data[a:b])
                 shas, texts = [hashlib.sha256(x).hexdigest() for x in kept], [x.decode("utf-8", "ignore") for x in kept]
                 yield pa.record_batch(
-                    [*(batch.column(c)[rows] for c in ["doc_id", *keep]), pa.array(np.diff(off)), pa.array(removed), pa.array(spans), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
-                    ["doc_id", *keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+                    [*(batch.column(c)[rows] for c in ["doc_id", *whole]), pa.array(np.diff(off)), pa.array(removed), pa.array(spans), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
+                    ["doc_id", *whole, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
                 )
 
     return run
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW_BYTES, gram: int = ANCHOR_BYTES, shard_bytes: int = SHARD_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256, kept_text: without bytes of strings of
-    ``window`` bytes that start elsewhere too. The digest is of all kept bytes; kept_text leaves out cut characters."""
-    keep = list(keep or [])
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text: without bytes of strings of ``window`` bytes that
+    start elsewhere too. The digest is of all kept bytes; kept_text leaves out cut characters. Columns ``keep``, which
+    may have any names, come second as one struct ``row``."""
     got = repeated(docs, "byte", window, gram, apart=False, keep=keep)
     mixed = got.mixed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard(window, shard_bytes), "anchor long, segment long, spans array<int>")
     # pairs of first window and number of windows; an empty list stands for all windows of a lone segment
     spans = got.alone.filter("n > 1").select("anchor", "segment", F.array().cast("array<int>").alias("spans")).union(mixed)
     own = F.expr("if(size(spans) = 0, array(start, windows), transform(spans, (x, i) -> if(i % 2 = 0, x + start, x)))")
     hits = got.found.join(spans, ["anchor", "segment"]).groupBy(*got.keys).agg(F.flatten(F.collect_list(own)).alias("hits"))
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    row = ["row"] if keep else []
+    kinds = f"row {got.packed.schema['row'].dataType.simpleString()}, " if keep else ""
     schema = f"doc_id long, {kinds}n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return got.packed.join(hits, got.keys, "left").select("doc_id", *keep, "packed", "hits").mapInArrow(_cut(window, keep), schema)
+    return got.packed.join(hits, got.keys, "left").select("doc_id", *row, "packed", "hits").mapInArrow(_cut(window, row), schema)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return remove_repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
