@@ -82,8 +82,19 @@ def _unblob(blob: bytes, columns: int) -> np.ndarray:
     return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64)[:, :, 0]
 
 
-def _ask(unit: str, window: int, gram: int, keys: list[str], apart: bool, buckets: int) -> Callable:
+def _anchors(unit: str, window: int, gram: int, keys: list[str]) -> Callable:
+    """Columns of a piece's pairs of an anchor and its document's keys."""
+
+    def find(batch: pa.RecordBatch, rows: slice, buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        got = Tokens(buf, off, unit).segments(window, gram)
+        return [got["anchor"].view(np.int64), *(batch.column(k)[rows].to_numpy()[got["row"]] for k in keys)]
+
+    return find
+
+
+def ask(find: Callable, apart: bool, buckets: int) -> Callable:
     """Rows (bucket, known, pairs): pairs of an anchor and a document that ask the anchor's bucket whether it repeats.
+    ``find`` gives the pairs of a piece, as columns of longs: the anchor and one or more keys of the document.
 
     An anchor that repeats within the piece is known to: two of its pairs still go to its bucket, for the others to
     learn of it, and all of them to a bucket of the piece, so that a frequent anchor's pairs do not gather.
@@ -92,10 +103,9 @@ def _ask(unit: str, window: int, gram: int, keys: list[str], apart: bool, bucket
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in vec.pieces(batch.column("text")):
-                got = Tokens(buf, off, unit).segments(window, gram)
-                if not len(got["row"]):
+                columns = find(batch, rows, buf, off)
+                if not len(columns[0]):
                     continue
-                columns = [got["anchor"].view(np.int64), *(batch.column(k)[rows].to_numpy()[got["row"]] for k in keys)]
                 order = np.lexsort((columns[1], columns[0]))
                 columns = [c[order] for c in columns]
                 new = np.r_[True, columns[0][1:] != columns[0][:-1]]
@@ -104,7 +114,7 @@ def _ask(unit: str, window: int, gram: int, keys: list[str], apart: bool, bucket
                 several = columns[1][begin] != columns[1][end] if apart else end > begin
                 known = np.repeat(several, end - begin + 1)
                 lone = ~known
-                if apart and len(keys) == 1:  # one pair stands for all of a document's
+                if apart and len(columns) == 2:  # one pair stands for all of a document's
                     lone &= new
                 lone[begin[several]] = True
                 lone[end[several]] = True
@@ -124,7 +134,7 @@ def _ask(unit: str, window: int, gram: int, keys: list[str], apart: bool, bucket
     return run
 
 
-def _answer(keys: list[str], apart: bool, buckets: int) -> Callable:
+def answer(keys: list[str], apart: bool, buckets: int) -> Callable:
     """Rows (home, pairs): the pairs of repeated anchors, packed by a bucket of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +162,7 @@ def _answer(keys: list[str], apart: bool, buckets: int) -> Callable:
     return run
 
 
-def _unpack(keys: list[str]) -> Callable:
+def unpack(keys: list[str]) -> Callable:
     """Rows (keys, wanted): each document's repeated anchors; rows must come sorted by home."""
 
     def documents(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -247,9 +257,9 @@ def repeated(docs: DataFrame, unit: str, window: int, gram: int, apart: bool, ke
     kinds = f", row {source.schema['row'].dataType.simpleString()}" if keep else ""
     packed = source.select(*keys, "text", *(["row"] if keep else [])).mapInArrow(_pack, f"{key_kinds}, packed binary{kinds}").repartition(*keys)
     buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    asked = source.filter(F.col("doc_id").isNotNull()).select(*keys, "text").mapInArrow(_ask(unit, window, gram, keys, apart, buckets), "bucket int, known boolean, pairs binary")
-    held = asked.repartition("bucket").select("known", "pairs").mapInArrow(_answer(keys, apart, buckets // 4), "home int, pairs binary")
-    held = held.repartition("home").sortWithinPartitions("home").mapInArrow(_unpack(keys), f"{key_kinds}, wanted array<bigint>")
+    asked = source.filter(F.col("doc_id").isNotNull()).select(*keys, "text").mapInArrow(ask(_anchors(unit, window, gram, keys), apart, buckets), "bucket int, known boolean, pairs binary")
+    held = asked.repartition("bucket").select("known", "pairs").mapInArrow(answer(keys, apart, buckets // 4), "home int, pairs binary")
+    held = held.repartition("home").sortWithinPartitions("home").mapInArrow(unpack(keys), f"{key_kinds}, wanted array<bigint>")
 
     def of(wanted: DataFrame, by: str, with_text: bool) -> DataFrame:
         joined = packed.join(wanted, keys, "left").select(*keys, "packed", "wanted")
