@@ -1,25 +1,30 @@
 """Benchmark decontamination: a BM25 index of test items, queried by every passage with block-max WAND.
 
-Tokens are runs of letters and digits, ASCII upper case lowered. The index holds each term's impact on each item, and
-its greatest impact on each block of items. A document is cut into passages of twice the longest item's tokens, each
-beginning half-way through the one before, so that every occurrence of an item lies whole in one passage. A passage is
-a query of its distinct terms. Terms whose greatest impacts together stay below the threshold can't lift an item alone:
-they are looked at only for passages and blocks that the other terms' block maxima let through.
+Tokens are runs of letters and digits, ASCII upper case lowered. Counts over all items (their number, mean length and how
+many hold a term) are taken once, so that a score doesn't depend on how the index is cut into shards. A shard's index
+holds, in flat arrays, each term's greatest impact on each block of items that it is in, and the postings of each block.
+
+A document is cut into passages of twice the longest item's tokens, each beginning half-way through the one before, so
+that every occurrence of an item lies whole in one passage. A passage is a query of its distinct terms. Terms whose
+greatest impacts together stay below the threshold can't lift an item alone: they are looked at only for passages that the
+others let through. Of such a passage the block maxima are added up first; only blocks whose sum reaches the threshold
+are opened, and only their postings are read.
 
 The threshold of an item is its own score less its greatest impacts, one for each term that may be missing while
 ``min_overlap`` of its shingles are still there, so that retrieval loses nothing that verification would accept.
 Verification counts the item's shingles of five words in the passage: all, those of the question (all sentences but the
 last) and those of the answer (the last).
 
-Defined results: null texts have no passages; items without tokens match nothing; equal items each get their row; a
-document's row for an item is its best passage's; an empty benchmark gives an empty result. The index is broadcast in
-shards of at most ``max_tokens`` tokens, and documents are read once a shard.
+Defined results: null texts have no passages; rows without doc_id are searched like any other; items without tokens match
+nothing; equal items each get their row; a document's row for an item is its best passage's; repeated documents each get
+their rows; an empty benchmark or no documents give an empty result; other columns are not read. The index is broadcast
+in shards of at most ``max_tokens`` tokens and ``max_bytes`` bytes, and documents are read once a shard.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,8 @@ MIN_PART = 0.5
 BLOCK = 16
 K1, B = 1.2, 0.75
 MAX_TOKENS = 500_000
+#: Of a shard's index as it is sent.
+MAX_BYTES = 256 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -57,17 +64,41 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return vec.mix(vec.Rolling(hashes).grams(size) + np.uint64(size))
 
 
+@dataclass
+class Counts:
+    """Over all items: how many have tokens, their mean length, and how many of them hold each term."""
+
+    items: int
+    mean: float
+    terms: np.ndarray  #: sorted hashes, of those needed at least
+    df: np.ndarray
+
+
 @dataclass
 class Index:
+    """Flat arrays. A term's maxima lie at maxima[term_at[t] : term_at[t + 1]], a block's postings, by term, at
+    block_at[b] : block_at[b + 1]. Impacts and maxima are shares of the item's threshold."""
+
     ids: np.ndarray
     vocabulary: np.ndarray  #: sorted term hashes
-    impact: list  #: by term: items and impacts over the item's threshold
-    block_max: np.ndarray  #: term x block
+    term_at: np.ndarray
+    in_block: np.ndarray
+    maxima: np.ndarray
+    most: np.ndarray  #: by term
     essential: np.ndarray  #: by term
     rest: np.ndarray  #: by block: what all other terms can add
-    parts: list  #: by item: shingle size and hashes of the whole, the question and the answer
+    block_at: np.ndarray
+    posting_term: np.ndarray
+    posting_item: np.ndarray
+    impact: np.ndarray
+    part_size: np.ndarray  #: by item and part (whole, question, answer): the shingle size
+    part_at: np.ndarray
+    part_hash: np.ndarray
     longest: int
 
+    def nbytes(self) -> int:
+        return sum(getattr(self, f.name).nbytes for f in fields(self) if f.name != "longest")
+
 
 def _parts(text: bytes, hashes: np.ndarray, ends: np.ndarray) -> list:
     cuts = [i + 1 for i, c in enumerate(text) if c in b".?!\n"]
@@ -86,7 +117,8 @@ def _parts(text: bytes, hashes: np.ndarray, ends: np.ndarray) -> list:
     return out
 
 
-def build(items: list[tuple[int, str]], min_overlap: float = MIN_OVERLAP) -> Index | None:
+def build(items: list[tuple[int, str]], counts: Counts | None = None, min_overlap: float = MIN_OVERLAP) -> Index | None:
+    """The index of some items; without ``counts`` these are all there are."""
     kept = []
     for item, text in items:
         raw = (text or "").encode()
@@ -98,33 +130,63 @@ def build(items: list[tuple[int, str]], min_overlap: float = MIN_OVERLAP) -> Ind
     n = len(kept)
     vocabulary = np.unique(np.concatenate([h for _, _, h, _ in kept]))
     terms = [np.unique(np.searchsorted(vocabulary, h), return_counts=True) for _, _, h, _ in kept]
-    df = np.bincount(np.concatenate([t for t, _ in terms]), minlength=len(vocabulary))
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    mean = np.mean([len(h) for _, _, h, _ in kept])
+    if counts is None:
+        df = np.bincount(np.concatenate([t for t, _ in terms]), minlength=len(vocabulary))
+        counts = Counts(n, float(np.mean([len(h) for _, _, h, _ in kept])), vocabulary, df)
+    df = counts.df[np.searchsorted(counts.terms, vocabulary)]
+    idf = np.log(1 + (counts.items - df + 0.5) / (df + 0.5))
     parts = [_parts(raw, h, e) for _, raw, h, e in kept]
-    postings: list[list] = [[] for _ in vocabulary]
-    block_max = np.zeros((len(vocabulary), -(-n // BLOCK)))
-    for k, ((t, tf), (_, _, h, _)) in enumerate(zip(terms, kept, strict=True)):
-        score = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean))
-        missing = int((1 - min_overlap) * len(parts[k][0][1]) + 1e-9)
-        threshold = np.sort(score)[: max(1, len(score) - missing)].sum() * (1 - 1e-9)
-        score = score / threshold
-        np.maximum.at(block_max, (t, np.full(len(t), k // BLOCK)), score)
-        for term, s in zip(t, score, strict=True):
-            postings[term].append((k, s))
-    most = block_max.max(1)
-    order = np.argsort(most, kind="stable")
-    essential = np.ones(len(vocabulary), bool)
+    impacts = []
+    for (t, tf), (_, _, h, _), own in zip(terms, kept, parts, strict=True):
+        score = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / counts.mean))
+        missing = int((1 - min_overlap) * len(own[0][1]) + 1e-9)
+        impacts.append(score / (np.sort(score)[: max(1, len(score) - missing)].sum() * (1 - 1e-9)))
+    term, item, impact = np.concatenate([t for t, _ in terms]), np.repeat(np.arange(n), [len(t) for t, _ in terms]), np.concatenate(impacts)
+    block = item // BLOCK
+    order = np.lexsort((item, term, block))
+    term, item, impact, block = term[order], item[order], impact[order], block[order]
+    first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
+    maxima, max_term, max_block = np.maximum.reduceat(impact, first), term[first], block[first]
+    by_term = np.lexsort((max_block, max_term))
+    maxima, max_term, max_block = maxima[by_term], max_term[by_term], max_block[by_term]
+    term_at = np.searchsorted(max_term, np.arange(len(vocabulary) + 1))
+    most = np.maximum.reduceat(maxima, term_at[:-1])
     # low-impact terms, as long as all blocks stay below the threshold without any other term
-    running = np.cumsum(block_max[order], axis=0).max(1)
-    essential[order[: np.searchsorted(running, 0.5)]] = False
-    rest = block_max[~essential].sum(0)
-    impact = [(np.array([k for k, _ in p]), np.array([s for _, s in p])) for p in postings]
-    return Index(np.array([k for k, *_ in kept]), vocabulary, impact, block_max, essential, rest, parts, max(len(h) for _, _, h, _ in kept))
+    essential, sums = np.ones(len(vocabulary), bool), np.zeros(-(-n // BLOCK))
+    for t in np.argsort(most, kind="stable"):
+        own = slice(term_at[t], term_at[t + 1])
+        if (sums[max_block[own]] + maxima[own]).max() >= 0.5:
+            break
+        sums[max_block[own]] += maxima[own]
+        essential[t] = False
+    hashes = [x for own in parts for _, x in own]
+    return Index(
+        np.array([k for k, *_ in kept]), vocabulary, term_at, max_block, maxima, most, essential, sums, np.searchsorted(block, np.arange(len(sums) + 1)), term, item, impact,
+        np.array([[size for size, _ in own] for own in parts]), np.concatenate([[0], np.cumsum([len(x) for x in hashes])]), np.concatenate(hashes), max(len(h) for _, _, h, _ in kept),
+    )
+
+
+def open_blocks(index: Index, terms: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items that reach their thresholds, with their scores over them, of a passage's ``inside`` terms (sorted), of which
+    ``terms`` are essential. Blocks that can't reach it are not opened."""
+    spans = [slice(index.term_at[t], index.term_at[t + 1]) for t in terms]
+    at = np.concatenate([index.in_block[s] for s in spans])
+    bound = np.bincount(at, np.concatenate([index.maxima[s] for s in spans]), len(index.rest)) + index.rest
+    bound[np.bincount(at, minlength=len(index.rest)) == 0] = 0  # the rest alone stays below the threshold
+    items, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for b in np.flatnonzero(bound >= 1):
+        own = slice(index.block_at[b], index.block_at[b + 1])
+        place = np.minimum(np.searchsorted(inside, index.posting_term[own]), len(inside) - 1)
+        held = inside[place] == index.posting_term[own]
+        score = np.bincount(index.posting_item[own][held] - b * BLOCK, index.impact[own][held], BLOCK)
+        hit = np.flatnonzero(score >= 1)
+        items.append(hit + b * BLOCK)
+        scores.append(score[hit])
+    return np.concatenate(items), np.concatenate(scores)
 
 
 def search(index: Index, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float, float, float]]:
-    """row, item, score over threshold, and overlaps (whole, question, answer) of all verified pairs, best passage each."""
+    """row, item, score over threshold, and overlaps (whole, question, answer) of all retrieved pairs, best passage each."""
     at = np.searchsorted(index.vocabulary, hashes)
     at[at == len(index.vocabulary)] = 0
     known = index.vocabulary[at] == hashes
@@ -146,67 +208,95 @@ def search(index: Index, hashes: np.ndarray, first: np.ndarray) -> list[tuple[in
     passage, terms = pairs // len(index.vocabulary), pairs % len(index.vocabulary)
     begin = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
     # first by the greatest impacts anywhere, then block by block
-    bound = np.add.reduceat(index.block_max.max(1)[terms], begin) + index.rest.max()
+    bound = np.add.reduceat(index.most[terms], begin) + index.rest.max()
     out: dict[tuple[int, int], tuple] = {}
     ends = np.append(begin[1:], len(terms))
     for k in np.flatnonzero(bound >= 1):
-        own = terms[begin[k] : ends[k]]
-        blocks = index.block_max[own].sum(0) + index.rest >= 1
-        if not blocks.any():
-            continue
         p = int(passage[begin[k]])
         r = int(np.searchsorted(base, p, "right") - 1)
         a = int(first[r] + (p - base[r]) * step)
         b = int(min(a + 2 * step, first[r + 1]))
         inside = np.unique(term[np.searchsorted(where, a) : np.searchsorted(where, b)])
-        score = np.zeros(len(index.ids))
-        for t in inside:
-            items, s = index.impact[t]
-            score[items] += s
-        hit = np.flatnonzero((score >= 1) & blocks[np.arange(len(score)) // BLOCK])
         made: dict[int, np.ndarray] = {}
-        for item in hit:
+        for item, score in zip(*open_blocks(index, terms[begin[k] : ends[k]], inside), strict=True):
             shares = []
-            for size, wanted in index.parts[item]:
+            for part, size in enumerate(index.part_size[item].tolist()):
                 if size not in made:
                     made[size] = shingles(hashes[a:b], size)
-                shares.append(float(np.isin(wanted, made[size]).mean()))
-            key, new = (r, int(item)), (round(shares[0], 6), round(float(score[item]), 6), *(round(x, 6) for x in shares[1:]))
+                cut = 3 * item + part
+                shares.append(float(np.isin(index.part_hash[index.part_at[cut] : index.part_at[cut + 1]], made[size]).mean()))
+            key, new = (r, int(item)), (round(shares[0], 6), round(float(score), 6), *(round(x, 6) for x in shares[1:]))
             if key not in out or out[key] < new:
                 out[key] = new
     return [(r, item, x[1], x[0], x[2], x[3]) for (r, item), x in out.items()]
 
 
+@vec.lean
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every item with tokens: whether it is the item's first row, its length, and each of its terms once."""
+    for batch in batches:
+        for rows, buf, off in vec.pieces(batch.column("text")):
+            hashes, _, first = tokens(buf, off)
+            shard = batch.column("shard")[rows].to_numpy()
+            for k in range(len(off) - 1):
+                own = np.unique(hashes[first[k] : first[k + 1]])
+                if len(own):
+                    length = np.zeros(len(own), np.int64)
+                    length[0] = first[k + 1] - first[k]
+                    yield pa.record_batch([vec.longs(own), pa.array(length), pa.array(np.full(len(own), shard[k]))], ["term", "length", "shard"])
+
+
+def shards(benchmark: DataFrame, min_overlap: float = MIN_OVERLAP, max_tokens: int = MAX_TOKENS, max_bytes: int = MAX_BYTES) -> Iterator[Index]:
+    """Indexes of all items, built one after the other; a shard's items and counts are all that reaches the driver."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
+    n = -(-words // max_tokens) or 1
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("long"))
+    terms = items.mapInArrow(_item_terms, "term long, length long, shard long")
+    whole = terms.agg(F.count(F.when(F.col("length") > 0, 1)).alias("n"), F.sum("length").alias("total")).first()
+    if not whole["n"]:
+        return
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.collect_set("shard").alias("shards"))
+    for k in range(n):
+        got = df.filter(F.array_contains("shards", F.lit(k).cast("long"))).select("term", "df").toPandas()
+        held = got["term"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(held)
+        counts = Counts(whole["n"], whole["total"] / whole["n"], held[order], got["df"].to_numpy()[order])
+        rows = items.filter(F.col("shard") == k).select("item_id", "text").orderBy("item_id", "text").collect()
+        index = build([(r.item_id, r.text) for r in rows], counts, min_overlap)
+        if index and index.nbytes() > max_bytes:
+            raise ValueError(f"an index of {index.nbytes()} bytes is not broadcast; lower max_tokens")
+        if index:
+            yield index
+
+
+_FOUND = {"doc_id": pa.int64(), "text_key": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "overlap": pa.float64(), "question_overlap": pa.float64(), "answer_overlap": pa.float64()}
+_SCHEMA = "doc_id long, text_key long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP, min_part: float = MIN_PART, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """doc_id, text_key, item_id, score, overlap, question_overlap, answer_overlap of every verified pair."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).alias("n"))
-    total = items.agg(F.sum("n")).first()[0] or 0
-    shards = -(-total // max_tokens) or 1
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     found = None
-    for k in range(shards):
-        part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)
-        index = build([(r.item_id, r.text) for r in part.orderBy("item_id").toLocalIterator()], min_overlap)
+    for index in shards(benchmark, min_overlap, max_tokens):
         sent = spark.sparkContext.broadcast(index)
 
+        @vec.lean
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
-            kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4)
             for batch in batches:
                 for rows, buf, off in vec.pieces(batch.column("text")):
-                    if index is None:
-                        continue
                     hashes, _, first = tokens(buf, off)
                     got = [x for x in search(index, hashes, first) if x[3] >= min_overlap and min(x[4:]) >= min_part]
                     if got:
                         docs, keys = (batch.column(c)[rows].to_pylist() for c in ("doc_id", "text_key"))
                         cols = zip(*[(docs[r], keys[r], index.ids[i], *x) for r, i, *x in got], strict=True)
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "text_key", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, _FOUND.values(), strict=True)], list(_FOUND))
 
-        keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-        one = keyed.mapInArrow(run, "doc_id long, text_key long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
+        one = keyed.mapInArrow(run, _SCHEMA)
         found = one if found is None else found.union(one)
-    return found
+    return spark.createDataFrame([], _SCHEMA) if found is None else found
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
