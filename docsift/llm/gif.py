@@ -240,6 +240,7 @@ def padded(text: bytes, unit: int = UNIT) -> bytes:
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: every whole text as a GIF."""
 
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in vec.pieces(batch.column("text")):
@@ -254,6 +255,7 @@ def frames(media: DataFrame) -> DataFrame:
     """One row a frame of the GIFs in column ``media``: doc_id, frame, start_cs, delay_cs, width, height, histogram
     (64 colours, two bits a channel, of the composed canvas)."""
 
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
@@ -276,6 +278,7 @@ def _histogram(canvas: np.ndarray) -> np.ndarray:
 def read_back(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes and what the stored GIF holds: payload and media digests, and features of its frames."""
 
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

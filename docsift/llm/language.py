@@ -63,6 +63,7 @@ def train(docs: DataFrame, bits: int = GRAM_BITS, max_train: int = MAX_TRAIN) ->
     rows = rows.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -131,6 +132,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, bits: int = G
     """doc_id, lang_pred, score, n_langs and mixture (language to proportion) of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast((langs, table))
 
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = sent.value
         for batch in batches:

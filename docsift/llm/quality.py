@@ -93,6 +93,7 @@ def train_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", max_t
 def train(rows: DataFrame, bits: int = BUCKET_BITS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights, the bias last, from at most MAX_TRAIN rows; learnt in one task in the order of a hash of doc_id."""
 
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
@@ -130,6 +131,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BUCKET_BITS) -> Data
     """doc_id and score (0 to 1) of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
+    @vec.lean
     def run(batches):
         for batch in batches:
             yield pa.record_batch([batch.column("doc_id"), pa.array(_scores(sent.value, bits, batch.column("text")))], ["doc_id", "score"])
@@ -141,6 +143,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD
     """The rows, with all their columns, that score at least ``threshold``."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
+    @vec.lean
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(_scores(sent.value, bits, batch.column("text")) >= threshold))

@@ -100,6 +100,7 @@ def ask(find: Callable, apart: bool, buckets: int) -> Callable:
     learn of it, and all of them to a bucket of the piece, so that a frequent anchor's pairs do not gather.
     """
 
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in vec.pieces(batch.column("text")):
@@ -137,6 +138,7 @@ def ask(find: Callable, apart: bool, buckets: int) -> Callable:
 def answer(keys: list[str], apart: bool, buckets: int) -> Callable:
     """Rows (home, pairs): the pairs of repeated anchors, packed by a bucket of their documents."""
 
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, found = [], []
         for batch in batches:
@@ -172,6 +174,7 @@ def unpack(keys: list[str]) -> Callable:
         own = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(pairs[0]))
         yield pa.record_batch([*(pa.array(c[cuts[:-1]]) for c in pairs[1:]), own], [*keys, "wanted"])
 
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         for batch in batches:
@@ -190,6 +193,7 @@ def unpack(keys: list[str]) -> Callable:
 def _segments(unit: str, window: int, gram: int, keys: list[str], by: str, with_text: bool) -> Callable:
     """Segments whose anchor (or own hash, as ``by`` says) is in the row's list ``wanted``."""
 
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column("wanted").is_valid())
@@ -218,6 +222,7 @@ def _segments(unit: str, window: int, gram: int, keys: list[str], by: str, with_
     return run
 
 
+@vec.lean
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = [vec.pack(batch.column(c)) if c == "text" else batch.column(c) for c in batch.schema.names]

@@ -36,6 +36,7 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def _fingerprints(shingle: int, seed: int):
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh64_intdigest
         for batch in batches:
@@ -100,6 +101,7 @@ def link_tile(bits: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndar
 
 
 def _tiles(masks: list[int], radius: int):
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x for x in batches if x.num_rows]
         if held:
@@ -123,8 +125,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = 200_000) -> D
     return tiled.withColumn("value", value).repartition(parts, "tile", "value").select("node", "bits", "tile").mapInArrow(_tiles(masks, radius), "src long, dst long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, label: the least node that each node of ``edges`` (src, dst) reaches."""
+def components(edges: DataFrame, rounds: int = 60, whole: bool = True) -> DataFrame:
+    """node, label: the least node that each node of ``edges`` (src, dst) reaches; if not ``whole``, one that it reaches
+    within so many rounds."""
     both = persisted(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = persisted(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("label")))
     for _ in range(rounds):
@@ -132,10 +135,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         near = labels.join(seen, "node").select("node", F.least("label", "seen").alias("label"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = persisted(near.join(jump, "label", "left").select("node", F.coalesce(F.least("label", "further"), "label").alias("label"), "was"))
-        changed = new.filter(F.col("label") < F.col("was")).limit(1).count()
         labels = new.select("node", "label")
-        if not changed:
+        if whole and not new.filter(F.col("label") < F.col("was")).limit(1).count():
             return labels
+    if not whole:
+        return labels
     raise RuntimeError(f"components still change after {rounds} rounds")
 
 

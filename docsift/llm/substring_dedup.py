@@ -88,6 +88,7 @@ class SuffixAutomaton:
 
 
 def _shard(window: int, limit: int):
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in by_anchor(batches, ["anchor", "segment", "low", "piece"], "piece", limit):
             lows = shard.column("low").to_pylist()
@@ -109,6 +110,7 @@ def _shard(window: int, limit: int):
 
 
 def _cut(window: int):
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in vec.pieces(vec.unpack(batch.column("packed"))):
@@ -164,6 +166,7 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, min_words: int
         size += len(own)
     sent = spark.sparkContext.broadcast([(x.next, x.link, x.length) for x in shards])
 
+    @vec.lean
     def run(batches):
         automata = []
         for x in sent.value:

@@ -189,6 +189,7 @@ def _runs(flags: np.ndarray) -> np.ndarray:
 
 
 def _shard(window: int, limit: int):
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in by_anchor(batches, ["anchor", "segment", "n", "piece"], "piece", limit):
             pieces, n = shard.column("piece").to_pylist(), shard.column("n").to_pylist()
@@ -200,6 +201,7 @@ def _shard(window: int, limit: int):
 
 
 def _cut(window: int, whole: list[str]):
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in vec.pieces(vec.unpack(batch.column("packed"))):
