@@ -3,9 +3,10 @@
 A fingerprint bit is the majority of that bit over the XXH64 of all shingles of three words. Distinct fingerprints
 are cut into blocks of bits; two that differ in at most ``radius`` bits agree in at least one of ``radius`` + 1 blocks,
 so tiles are the fingerprints with one block's value (more blocks, several at once, for larger corpora: see
-``tables``). Within a tile, fingerprints are sorted by population count and compared exactly by numpy exclusive-or and
-bit counts; those whose counts differ beyond the radius are skipped. A tile returns a spanning forest of its links,
-never all its pairs, and components grow by minimum labels with pointer jumping over checkpointed tables.
+``tables``) and one of two neighbouring ranges of population counts: tiles whose counts differ beyond the radius never
+meet. Within a tile, fingerprints are sorted by population count and compared exactly by numpy exclusive-or and bit
+counts. A tile returns a spanning forest of its links, never all its pairs, and components grow by minimum labels with
+pointer jumping over checkpointed tables.
 
 Defined results: a null text has no words and so fingerprint zero, like an empty one; rows with one doc_id each get a
 fingerprint; a row without doc_id gets one too and is its component's id only if nothing else is there (null).
@@ -106,9 +107,10 @@ def _tiles(masks: list[int], radius: int):
         held = [x for x in batches if x.num_rows]
         if held:
             whole = pa.Table.from_batches(held)
-            node, bits, table = (whole.column(c).to_numpy() for c in ("node", "bits", "tile"))
+            node, bits, table, span = (whole.column(c).to_numpy() for c in ("node", "bits", "tile", "span"))
             bits = bits.view(np.uint64)
-            key = vec.mix((bits & np.array(masks, np.uint64)[table]) ^ vec.mix(table.astype(np.uint64) + np.uint64(1)))
+            salt = vec.mix((table.astype(np.uint64) << np.uint64(8)) + span.astype(np.uint64) + np.uint64(1))
+            key = vec.mix((bits & np.array(masks, np.uint64)[table]) ^ salt)
             a, b = link_tile(bits, key, radius)
             yield pa.record_batch([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["src", "dst"])
 
@@ -122,7 +124,11 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = 200_000) -> D
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(masks) // tile_rows))
     tiled = nodes.withColumn("tile", F.explode(F.array(*[F.lit(k) for k in range(len(masks))])))
     value = F.element_at(F.array(*[F.col("bits").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks]), F.col("tile") + 1)
-    return tiled.withColumn("value", value).repartition(parts, "tile", "value").select("node", "bits", "tile").mapInArrow(_tiles(masks, radius), "src long, dst long").distinct()
+    # ranges of radius + 1 counts: within the radius two lie in one range or in neighbours, which meet in the lower's tile
+    count = F.floor(F.bit_count("bits") / (radius + 1)).cast("int")
+    spans = F.explode(F.array(count, count - 1)).alias("span")
+    tiled = tiled.withColumn("value", value).select("node", "bits", "tile", "value", spans)
+    return tiled.repartition(parts, "tile", "value", "span").select("node", "bits", "tile", "span").mapInArrow(_tiles(masks, radius), "src long, dst long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60, whole: bool = True) -> DataFrame:
