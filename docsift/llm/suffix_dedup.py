@@ -1,11 +1,8 @@
-"""Removal of byte strings that occur more than once in a corpus, by induced suffix sorting.
+"""Removal of byte strings that occur more than once in a corpus, by external induced suffix sorting.
 
-Each shard sorts the suffixes of its distinct segments (see segments.py): left-most S-type suffixes are ordered first,
-all others are induced from them bucket by bucket, in blocks, from queues that spill to an unnamed scratch file when
-they outgrow their memory. Neighbours in suffix order whose common prefix reaches the window are repeats.
-
-The common prefix is carried as a fingerprint of the first ``window`` bytes, compared between neighbours only; the
-reduced problem of one level of recursion is settled by doubling, to the depth that the window needs.
+Each shard sorts the suffixes of its distinct segments (see segments.py and induced.py): tuples of a suffix and of what it
+shares with the one before go through queues on disk, and neighbours in suffix order whose common prefix reaches the window
+are repeats. A shard is as large as its anchor makes it; what outgrows ``memory`` is mapped from scratch files.
 
 Defined results: a null text counts as empty (n_bytes 0); rows with one doc_id are judged apart, each by its own text;
 identical rows repeat each other; a row without doc_id is kept whole and is nobody's repeat; texts shorter than the
@@ -15,7 +12,6 @@ window keep everything; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import vec
+from . import induced, vec
 from .segments import by_anchor, repeated
 
 WINDOW_BYTES = 400
@@ -31,156 +27,30 @@ WINDOW_BYTES = 400
 ANCHOR_BYTES = 200
 #: Bytes of segments that a shard sorts at once.
 SHARD_BYTES = 512 << 10
-#: Bytes of queued suffixes that stay in memory.
-QUEUE_BYTES = 64 << 20
-
-
-class BlockQueue:
-    """A priority queue of suffix blocks by first symbol, first in first out within a symbol. Blocks beyond ``memory``
-    bytes go to a scratch file that has no name and ends with the task."""
-
-    def __init__(self, symbols: int, memory: int = QUEUE_BYTES):
-        self.blocks: list[list] = [[] for _ in range(symbols)]
-        self.memory, self.held, self.file = memory, 0, None
-
-    def put(self, symbol: int, block: np.ndarray) -> None:
-        if self.held + block.nbytes > self.memory:
-            self.file = self.file or tempfile.TemporaryFile()
-            at = self.file.seek(0, 2)
-            self.file.write(block.tobytes())
-            self.blocks[symbol].append((at, len(block), block.dtype))
-        else:
-            self.held += block.nbytes
-            self.blocks[symbol].append(block)
-
-    def take(self, symbol: int) -> np.ndarray | None:
-        """All that is queued for a symbol."""
-        blocks, self.blocks[symbol] = self.blocks[symbol], []
-        if not blocks:
-            return None
-        for k, x in enumerate(blocks):
-            if isinstance(x, tuple):
-                self.file.seek(x[0])
-                blocks[k] = np.frombuffer(self.file.read(x[1] * x[2].itemsize), x[2])
-            else:
-                self.held -= x.nbytes
-        return blocks[0] if len(blocks) == 1 else np.concatenate(blocks)
-
-    def close(self) -> None:
-        if self.file:
-            self.file.close()
-
-
-def _deal(queue: BlockQueue, text: np.ndarray, at: np.ndarray) -> None:
-    symbols = text[at]
-    order = np.argsort(symbols, kind="stable")
-    at, symbols = at[order], symbols[order]
-    cuts = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-    for begin, end in zip(np.r_[0, cuts], np.r_[cuts, len(at)], strict=True):
-        queue.put(int(symbols[begin]), at[begin:end])
-
-
-def _induce(text: np.ndarray, small: np.ndarray, leftmost: np.ndarray, symbols: int, memory: int) -> np.ndarray:
-    """Suffix order from that of the left-most S-type suffixes (small: which suffixes are S-type)."""
-    larger, smaller, seeds = (BlockQueue(symbols, memory // 3) for _ in range(3))
-    _deal(seeds, text, leftmost)
-    sorted_large: list[np.ndarray | None] = [None] * symbols
-    nothing = leftmost[:0]
-
-    def before(block: np.ndarray, is_small: bool, queue: BlockQueue) -> None:
-        block = block[block > 0] - 1
-        block = block[small[block] == is_small]
-        if len(block):
-            _deal(queue, text, block)
-
-    for c in range(symbols):
-        done = []
-        while (block := larger.take(c)) is not None:
-            done.append(block)
-            before(block, False, larger)
-        sorted_large[c] = np.concatenate(done) if done else nothing
-        if (block := seeds.take(c)) is not None:
-            before(block, False, larger)
-    smaller.put(0, np.array([len(text) - 1], leftmost.dtype))
-    out: list[np.ndarray] = []
-    for c in range(symbols - 1, -1, -1):
-        done = []
-        while (block := smaller.take(c)) is not None:
-            done.append(block)
-            before(block, True, smaller)
-        if done:
-            out.append(np.concatenate(done))
-        if len(sorted_large[c]):
-            out.append(sorted_large[c][::-1])
-            before(out[-1], True, smaller)
-    for q in (larger, smaller, seeds):
-        q.close()
-    return np.concatenate(out)[::-1]
-
-
-def _doubling(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names by at least their first ``depth`` names."""
-    rank, h, n = names.astype(np.int64), 1, len(names)
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - h)] = rank[h:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        h *= 2
-        if h >= depth or new[-1] == n - 1:
-            return order
-
-
-def suffix_order(text: np.ndarray, symbols: int, depth: int, memory: int = QUEUE_BYTES) -> np.ndarray:
-    """Suffixes of ``text`` (last symbol 0, which occurs once) in order of at least their first ``depth`` symbols."""
-    n = len(text)
-    step = np.diff(text.astype(np.int32))
-    turn = np.where(step != 0, np.arange(n - 1), n)
-    turn = np.minimum.accumulate(turn[::-1])[::-1]
-    small = np.ones(n, bool)
-    small[:-1] = step[turn] > 0
-    leftmost = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
-    if len(leftmost) > 1:
-        order = _induce(text, small, leftmost, symbols, memory)
-        is_left = np.zeros(n, bool)
-        is_left[leftmost] = True
-        order = order[is_left[order]]
-        ends = np.append(leftmost[1:] + 1, n)
-        roll = vec.Rolling(vec.mix(text.astype(np.uint64) + np.uint64(1)))
-        prints = vec.mix(roll.spans(leftmost, ends) + (ends - leftmost).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        del roll
-        place = np.searchsorted(leftmost, order)
-        names = np.empty(len(leftmost), np.int64)
-        names[place] = np.concatenate([[0], np.cumsum(prints[place][1:] != prints[place][:-1])])
-        if names.max() + 1 < len(names):
-            order = leftmost[_doubling(names, depth)]
-        leftmost = order
-    return _induce(text, small, leftmost, symbols, memory)
-
-
-def repeats(pieces: list[bytes], window: int) -> list[np.ndarray]:
+#: Bytes of queues and arrays of a shard that stay in memory.
+MEMORY = 8 << 20
+
+
+def repeats(pieces: list[bytes], window: int, memory: int = MEMORY) -> list[np.ndarray]:
     """For each piece, which of its windows also start elsewhere in the pieces."""
     sizes = np.array([len(x) for x in pieces], np.int64)
-    raw = np.frombuffer(b"\0".join(pieces) + b"\0\0", np.uint8)
-    text = raw.astype(np.uint16) + 2
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    text[starts + sizes] = 1
-    text[-1] = 0
-    order = suffix_order(text, 258, window)
-    windows = np.maximum(sizes - window + 1, 0)
-    valid = np.zeros(len(text), bool)
-    valid[vec.ranges(starts, windows)] = True
-    order = order[valid[order]].astype(np.int64)
-    roll = vec.Rolling(vec.byte_tokens(raw))
-    heads = roll.spans(order, order + window)
-    same = heads[1:] == heads[:-1]
-    found = np.zeros(len(text), bool)
-    found[order[1:][same]] = True
-    found[order[:-1][same]] = True
-    return [found[s : s + w] for s, w in zip(starts, windows, strict=True)]
+    n = int(sizes.sum()) + len(pieces) + 1
+    text = induced.scratch(n, np.uint16, memory)
+    for start, piece in zip(starts, pieces, strict=True):  # bytes are 2 to 257, 1 ends a piece, 0 the text
+        text[start : start + len(piece)] = np.frombuffer(piece, np.uint8).astype(np.uint16) + 2
+        text[start + len(piece)] = 1
+    text[n - 1] = 0
+    found = induced.scratch(n, bool, memory)
+    found[:] = False
+    last = 0
+    for pos, shared in induced.suffixes(text, 258, window, memory):
+        same = shared >= window
+        found[pos[same]] = True
+        found[np.r_[last, pos[:-1]][same]] = True
+        last = pos[-1]
+    # a window that goes beyond its piece isn't one
+    return [np.array(found[s : s + max(0, w - window + 1)]) for s, w in zip(starts, sizes, strict=True)]
 
 
 def _runs(flags: np.ndarray) -> np.ndarray:
