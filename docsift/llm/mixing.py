@@ -9,8 +9,11 @@ its documents in the order of md5(doc_id), whole until the last, of which a frac
 That order is kept by md5 prefix: running sums of 4096 prefixes a source, then within a prefix, so that a source with a
 third of all rows is spread over all tasks. Only one row a source meets in one task.
 
-Defined results: a null text has size 0 and takes 0; a source of size 0 has target 0; null doc_ids come first in
-md5 order (as empty); equal rows are taken one after the other; an empty table gives an empty result.
+The order is of md5(seed and doc_id), so that another seed gives another draw.
+
+Defined results: a null text has size 0 and takes 0; a source of size 0 has target 0; rows without doc_id are placed by
+their size instead; equal rows are taken one after the other; an empty table gives an empty result; columns besides
+doc_id, text and source are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 PREFIX = 3
 
 
-def _key(c: str = "doc_id") -> Column:
-    return F.md5(F.coalesce(F.col(c).cast("string"), F.lit("")))
+def _key(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("size "), F.col("size").cast("string")))))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -51,19 +54,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return out.select("source", "source_size", "target", "whole", (F.floor(F.col("target") + 0.5).cast("long") - F.col("whole") * F.col("source_size")).alias("rest"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "") -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every document."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sizes = persisted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")))
     goals = targets(sizes, weights, max_epochs)
-    spread = sizes.withColumn("bucket", F.substring(_key(), 1, PREFIX))
+    spread = sizes.withColumn("bucket", F.substring(_key(seed), 1, PREFIX))
     sums = spread.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(run), F.lit(0)))
     goals = goals.withColumnRenamed("source", "goal_source")
     sums = sums.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).select(F.col("source").alias("of_source"), F.col("bucket").alias("of_bucket"), "offset", "source_size", "target", "whole", "rest")
     placed = spread.join(sums, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("bucket") == F.col("of_bucket")))
-    within = Window.partitionBy("source", "bucket").orderBy(_key(), F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy(_key(seed), F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
     placed = placed.withColumn("ahead", ahead)
     extra = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("ahead")))
@@ -73,7 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 ORACLE = """
 WITH sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'size ' || CAST(size AS VARCHAR))) AS k
   FROM documents),
 weighed AS (
   SELECT source, sum(size) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight

@@ -11,7 +11,10 @@ under a name of its own; only files of committed tasks get into the manifest, an
 
 Defined results of ``archive_pages``: a null html is an empty payload; equal payloads of at least ``min_revisit_bytes``
 have one response, that of the largest page_id (rows that share that page_id are all responses), and revisits; a null
-page_id is never the response while another has the payload; an empty table gives an archive without records.
+page_id is never the response while another has the payload; an empty table gives an archive without records; control
+characters and blanks of a url are left out of the header; rows that share a page_id share a record id; other columns are
+not read. Payloads below ``min_revisit_bytes`` are written where they are; of the others, those of one digest are dealt
+over SALTS tasks.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ _HEADERS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri
 PARTITION_BYTES = 8 << 20
 MIN_REVISIT_BYTES = 1000
 BATCH_BYTES = 4 << 20
+SALTS = 16
+_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MARK = b"DS"  # of the gzip extra subfield with the member's length
 
 
@@ -69,10 +74,31 @@ def parse_headers(head: bytes) -> dict[str, str]:
     return out
 
 
+def _plain_at(file, at: int, end: int, wanted, payload: bool):
+    """Of a file that isn't compressed, as _member_at; payloads that aren't wanted are passed over unread."""
+    file.seek(at)
+    raw = file.read(min(4096, end - at))
+    while b"\r\n\r\n" not in raw:
+        more = file.read(min(4096, end - at - len(raw)))
+        if not more:
+            raise ValueError("a WARC record ends early")
+        raw += more
+    head = raw.partition(b"\r\n\r\n")[0]
+    headers = parse_headers(head)
+    begin, size = at + len(head) + 4, int(headers.get("Content-Length", 0))
+    take, body = wanted(headers), None
+    if take and payload:
+        file.seek(begin)
+        body = file.read(size)
+    return (headers if take else None), body, begin + size + 4
+
+
 def _member_at(file, at: int, end: int, wanted, payload: bool):
     """Headers and payload of the record at an offset (None if it is not wanted), and the next offset."""
     file.seek(at)
     raw = file.read(min(4096, end - at))
+    if raw[:2] != b"\x1f\x8b":
+        return _plain_at(file, at, end, wanted, payload)
     size = None
     if raw[3] & 4:
         extra = raw[12 : 12 + struct.unpack("<H", raw[10:12])[0]]
@@ -259,8 +285,10 @@ def archive_pages(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_RE
     register(pages.sparkSession)
     html = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("body"), F.sha1(html).alias("digest"), F.length(html).cast("long").alias("size"))
-    first = full.filter(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"))
-    both = full.join(first, "digest", "left")
+    short, long = full.filter(F.col("size") < min_revisit_bytes), full.filter(F.col("size") >= min_revisit_bytes)
+    first = long.groupBy("digest").agg(F.max("page_id").alias("first_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = long.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    both = salted.join(first, ["digest", "salt"], "left").select(*full.columns, "first_id").union(short.select("*", F.lit(None).cast("long")))
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     own = F.coalesce(urn(F.col("page_id")), F.lit("<urn:page:>"))
@@ -273,7 +301,7 @@ def archive_pages(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_RE
         F.col("size").alias("content_length"),
         F.concat(F.lit("sha1:"), "digest").alias("payload_digest"),
         F.when(again, urn(F.col("first_id"))).alias("refers_to"),
-        F.create_map(F.lit("X-Payload-Length"), F.col("size").cast("string")).alias("headers"),
+        F.when(again, F.create_map(F.lit("X-Payload-Length"), F.col("size").cast("string"), F.lit("WARC-Profile"), F.lit(_PROFILE))).otherwise(F.create_map(F.lit("X-Payload-Length"), F.col("size").cast("string"))).alias("headers"),
         F.when(~again, F.col("body")).alias("payload"),
     )
     records.write.format("docsift_warc").mode("append").option("path", folder).save()
