@@ -5,10 +5,11 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 
-from docsift.llm import decontaminate, gif, language, mixing, quality, simhash, substring_dedup, suffix_dedup, url_filter, warc
+from docsift.llm import decontaminate, gif, induced, language, mixing, quality, simhash, substring_dedup, suffix_dedup, url_filter, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, anchor string, label string"
 
@@ -78,18 +79,49 @@ def test_repeated_bytes(docs):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
-def test_suffix_order_spills():
+def _order(text, depth, memory, chunk):
+    levels, pos, shared = [], [], []
+    for p, s in induced.suffixes(np.array(text, np.uint16), max(text) + 1, depth, memory, chunk, True, levels):
+        pos += p.tolist()
+        shared += s.tolist()
+    return pos[::-1], shared[::-1], levels
+
+
+def test_suffixes_by_brute_force(monkeypatch):
+    r = random.Random(1)
+    deepest, spilled = 0, []
+    put = induced.Queues.put
+    monkeypatch.setattr(induced.Queues, "put", lambda q, c, block: (put(q, c, block), spilled.append(q.spilled))[0])
+    for trial in range(60):
+        letters, n = r.choice([1, 2, 3, 30]), r.randint(1, 150)
+        base = [r.randint(1, letters) for _ in range(n)]
+        text = [*base, *base[: r.randint(0, n)], *base, 0]
+        depth, memory, chunk = r.choice([400, 7]), r.choice([64, 600, 1 << 20]), r.choice([1, 5, 4096])
+        pos, shared, levels = _order(text, depth, memory, chunk)
+        deepest = max(deepest, len(levels))
+        assert sorted(pos) == list(range(len(text)))
+        for k in range(1, len(pos)):
+            a, b = text[pos[k - 1] :], text[pos[k] :]
+            common = next(i for i, (x, y) in enumerate(zip([*a, -1], [*b, -2], strict=False)) if x != y)
+            assert a[:depth] <= b[:depth] and shared[k - 1] == min(common, depth), trial
+    assert deepest >= 3 and max(spilled) > 1000
+
+
+def test_repeats_beyond_memory():
     r = random.Random(1)
     pieces = [bytes(r.choice(b"ab\0") for _ in range(r.randint(0, 300))) for _ in range(20)]
     count = Counter(p[k : k + 7] for p in pieces for k in range(len(p) - 6))
     want = [[count[p[k : k + 7]] > 1 for k in range(len(p) - 6)] for p in pieces]
-    assert [list(x) for x in suffix_dedup.repeats(pieces, 7)] == want
-    queue = suffix_dedup.BlockQueue(2, memory=8)
-    import numpy as np
+    for memory in (256, 4096, 1 << 20):
+        assert [list(x) for x in suffix_dedup.repeats(pieces, 7, memory)] == want
 
+
+def test_queues():
+    queue = induced.Queues(16)
     for k in range(4):
-        queue.put(1, np.array([k, k], np.int32))
-    assert queue.file and queue.take(1).tolist() == [0, 0, 1, 1, 2, 2, 3, 3]
+        queue.put(1, np.arange(3 * k, 3 * k + 3))
+    assert queue.spilled == 96 and queue.take(1, 2).tolist() == [0, 1] and queue.take(1, 4, last=True).tolist() == [8, 9, 10, 11]
+    assert queue.take(1, 99).tolist() == list(range(2, 8)) and queue.take(1, 1) is None
 
 
 def test_simhash(docs):
@@ -165,6 +197,40 @@ def test_pages(spark, tmp_path):
     assert (judged[3].host, judged[3].rule, judged[5].verdict, judged[None].rule) == ("", None, "block", "www.example.com/en/")
 
 
+def test_foreign_archives(spark, tmp_path):
+    """Plain files and gzip members without a length, as other programs write them."""
+    import gzip
+
+    records = [warc.record({"WARC-Type": t, "WARC-Record-ID": f"<x:{k}>", "WARC-Target-URI": "http://a/"}, b"p" * k) for k, t in enumerate(["warcinfo", "response", "response", "request"], 5000)]
+    for name, data in {"plain": b"".join(records), "zipped": b"".join(map(gzip.compress, records))}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / ("a.warc" if name == "plain" else "a.warc.gz")).write_bytes(data)
+        got = warc.read_archive(spark, str(tmp_path / name)).orderBy("content_length").collect()
+        assert [(r.warc_type, r.content_length, len(r.payload)) for r in got] == [("warcinfo", 5000, 5000), ("response", 5001, 5001), ("response", 5002, 5002), ("request", 5003, 5003)]
+        some = warc.read_archive(spark, str(tmp_path / name), payload=False).filter("warc_type = 'response'").collect()
+        assert [(r.record_id, r.payload) for r in some] == [("<x:5001>", None), ("<x:5002>", None)]
+
+
+def test_mix_seeds(spark):
+    docs = spark.createDataFrame([(k if k % 3 else None, "w " * (k % 7 + 1), "ab"[k % 2]) for k in range(200)], "doc_id long, text string, source string")
+    taken = [sorted(map(repr, mixing.mix(docs, (1, 5), 3, seed).collect())) for seed in ("", "", "other")]
+    assert taken[0] == taken[1] != taken[2]
+
+
+def test_frames():
+    """Delays, disposals and colours of a GIF of several frames."""
+    block = lambda bits, data: bytes([bits]) + b"".join(bytes([len(x)]) + x for x in [gif.lzw_encode(data, bits)]) + b"\0"
+    image = lambda left, data: b"\x2c" + bytes([left, 0, 0, 0, len(data), 0, 1, 0, 0]) + block(2, data)
+    control = lambda disposal, delay, clear=None: b"\x21\xf9\x04" + bytes([disposal << 2 | (clear is not None), delay, 0, clear or 0]) + b"\0"
+    head = b"GIF89a\x03\0\x01\0\x81\0\0" + bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
+    data = head + control(1, 3) + image(0, b"\1\1\1") + control(2, 4, 0) + image(1, b"\2\0") + control(3, 5) + image(0, b"\3") + control(0, 6) + image(2, b"\3") + b"\x3b"
+    frames = gif.decode(data)
+    canvas = [["".join("kRGB"[[(0, 0, 0), (255, 0, 0), (0, 255, 0), (0, 0, 255)].index(tuple(int(v) for v in p[:3]))] for p in f.canvas[0])] for f in frames]
+    assert [f.delay_cs for f in frames] == [3, 4, 5, 6] and [f.disposal for f in frames] == [1, 2, 3, 0]
+    # the second frame leaves its transparent pixel; its area is then cleared, the third is undone
+    assert canvas[0] == ["RRR"] and canvas[1] == ["RGR"] and canvas[2][0][0] == "B" and canvas[3][0][0] == "R" and canvas[3][0][2] == "B"
+
+
 def test_empty(empty, spark, tmp_path):
     assert substring_dedup.remove_earlier_passages(empty).count() == 0
     assert suffix_dedup.remove_repeated_bytes(empty).count() == 0
