@@ -3,6 +3,24 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from functools import cache
+
+#: White space as str.strip and \\s of Unicode patterns know it, for the character classes of both engines.
+WHITE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_CASED = r"\p{Lu}\p{Ll}\p{Lt}"
+
+
+@cache
+def decompositions() -> dict[str, str]:
+    """ASCII part of the compatibility decomposition of every other character that has one."""
+    made = {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if (d := unicodedata.normalize("NFKD", c)) != c and (ascii_part := d.encode("ascii", "ignore").decode()):
+            made[c] = ascii_part
+    return made
 
 
 def flag(cond: str) -> str:
@@ -67,7 +85,111 @@ class Spark:
         return f"array_join({a}, '{by}')"
 
     def sub(self, t: str, p: str, to: str = "") -> str:
-        return f"regexp_replace({t}, {self.lit(p)}, '{to}')"
+        """``to`` may have groups (as \\1) and newlines."""
+        return f"regexp_replace({t}, {self.lit(p)}, {self.quote(re.sub(r'\\(\d)', r'$\1', to))})"
+
+    def quote(self, s: str) -> str:
+        """A string without apostrophes or backslashes."""
+        return " || ".join(f"'{x}'" for x in s.split("\n")).replace(" || ", " || chr(10) || ") if "\n" in s else f"'{s}'"
+
+    def strip(self, t: str) -> str:
+        return self.sub(t, f"^[{WHITE}]+|[{WHITE}]+$")
+
+    def words(self, t: str) -> str:
+        return self.found(t, f"[^{WHITE}]+")
+
+    def n_words(self, t: str) -> str:
+        return self.hits(t, f"[^{WHITE}]+")
+
+    def squeeze(self, t: str) -> str:
+        return self.strip(self.sub(t, f"[{WHITE}]+", " "))
+
+    def upper_case(self, x: str) -> str:
+        """Has a cased character and none in lower case."""
+        return f"(upper({x}) = {x} AND lower({x}) <> {x})"
+
+    def title_case(self, x: str) -> str:
+        """Upper case begins every run of cased characters and is nowhere else."""
+        return self.match(x, rf"^[^{_CASED}]*([\p{{Lu}}\p{{Lt}}]\p{{Ll}}*[^{_CASED}]+)*[\p{{Lu}}\p{{Lt}}]\p{{Ll}}*[^{_CASED}]*$")
+
+    def to_title(self, x: str) -> str:
+        """ASCII letters in upper case after what is no letter, else in lower case."""
+        letter = f"CASE WHEN i > 1 AND {self.match(f'substr({x}, i - 1, 1)', '[A-Za-z]')} THEN lower(substr({x}, i, 1)) ELSE upper(substr({x}, i, 1)) END"
+        return f"CASE WHEN {x} IS NOT NULL THEN {self.join(self.each(self.count_to(f'length({x})'), 'i', letter), '')} END"
+
+    def any_word(self, x: str, words) -> str:
+        """One of the words or phrases as a whole, by Unicode word boundaries."""
+        return self.match(x, self.word_pattern(words))
+
+    def word_pattern(self, words) -> str:
+        return r"(?:^|[^\p{L}\p{N}_])(" + "|".join(re.escape(w).replace("'", r"\x27").replace(r"\ ", " ") for w in words) + r")(?:$|[^\p{L}\p{N}_])"
+
+    def split_lines(self, t: str) -> str:
+        """Lines as str.splitlines gives them."""
+        return f"CASE WHEN {t} = '' THEN {self.empty()} ELSE split(regexp_replace({t}, {self.lit('(' + LINE_END + r')\z')}, ''), {self.lit(LINE_END)}, -1) END"
+
+    def empty(self) -> str:
+        return "CAST(array() AS ARRAY<STRING>)"
+
+    def at(self, a: str, i: str) -> str:
+        """From 1 on; null outside."""
+        return f"get({a}, CAST({i} AS INT) - 1)"
+
+    def span(self, a: str, start: str, n: str) -> str:
+        return f"slice({a}, CAST({start} AS INT), CAST({n} AS INT))"
+
+    def concat(self, *arrays: str) -> str:
+        return f"concat({', '.join(arrays)})"
+
+    def flat(self, a: str) -> str:
+        return f"flatten({a})"
+
+    def array(self, *items: str) -> str:
+        return f"array({', '.join(items)})"
+
+    def item_in(self, x: str, a: str) -> str:
+        return f"array_contains({a}, {x})"
+
+    def some(self, a: str, x: str, cond: str) -> str:
+        return f"exists({a}, {x} -> {cond})"
+
+    def count_to(self, n: str) -> str:
+        """1 to n, empty for n < 1."""
+        return f"filter(sequence(0, greatest(0, {n})), j -> j > 0)"
+
+    def join_lines(self, a: str) -> str:
+        return f"array_join({a}, chr(10))"
+
+    def split(self, t: str, p: str) -> str:
+        return f"split({t}, {self.lit(p)}, -1)"
+
+    def least_of(self, a: str) -> str:
+        return f"array_min({a})"
+
+    def explode(self, a: str) -> str:
+        """A row for each item, as a column of a layer."""
+        return f"explode({a})"
+
+    def shared(self, a: str, words) -> str:
+        """How many of the words the array has."""
+        return f"size(array_intersect({a}, array({', '.join(f"'{w}'" for w in words)})))"
+
+    def fold(self, a: str, start: str, s: str, x: str, step: str) -> str:
+        return f"aggregate({a}, {start}, ({s}, {x}) -> {step})"
+
+    def ascii(self, t: str) -> str:
+        """Compatibility decomposition without all that isn't ASCII."""
+        one = {c: a for c, a in decompositions().items() if len(a) == 1 and a not in "'\\"}
+        more = {c: a for c, a in decompositions().items() if len(a) > 1}
+        folded = f"translate({t}, '{''.join(one)}', '{''.join(one.values())}')"
+        table = f"map_from_arrays(split('{chr(1).join(more)}', chr(1)), split('{chr(1).join(more.values())}', chr(1)))"
+        each = f"array_join(transform(regexp_extract_all({folded}, '(?s).', 0), c -> coalesce(try_element_at({table}, c), c)), '')"
+        return f"regexp_replace(CASE WHEN regexp_like({t}, '[{''.join(more)}]') THEN {each} ELSE {folded} END, r'[^\x00-\x7f]+', '')"
+
+    def unspaced(self, t: str) -> str:
+        """Without blanks in runs of three or more single letters."""
+        one, white = r"[A-Za-z]", r"[\x09-\x0d\x1c-\x20]"
+        return self.sub(t, rf"(?<=\b{one}{white}{one}) (?={one}\b)|(?<=\b{one}) (?={one}{white}{one}\b)")
 
     def lines(self, t: str) -> str:
         return f"split({t}, chr(10), -1)"
@@ -117,7 +239,7 @@ class DuckDB(Spark):
         return f"CAST(len({a}) AS INTEGER)"
 
     def distinct(self, a: str) -> str:
-        return f"list_distinct({a})"
+        return f"list_filter({a}, lambda dx, di: list_position({a}, dx) = di)"
 
     def most(self, a: str) -> str:
         return f"list_max({a})"
@@ -132,7 +254,64 @@ class DuckDB(Spark):
         return f"array_to_string({a}, '{by}')"
 
     def sub(self, t: str, p: str, to: str = "") -> str:
-        return f"regexp_replace({t}, '{p}', '{to}', 'g')"
+        return f"regexp_replace({t}, '{p}', {self.quote(to)}, 'g')"
+
+    def split_lines(self, t: str) -> str:
+        return f"CASE WHEN {t} = '' THEN {self.empty()} ELSE string_split_regex(regexp_replace({t}, '({LINE_END})\\z', ''), '{LINE_END}') END"
+
+    def empty(self) -> str:
+        return "CAST([] AS VARCHAR[])"
+
+    def at(self, a: str, i: str) -> str:
+        return f"({a})[{i}]"
+
+    def span(self, a: str, start: str, n: str) -> str:
+        return f"list_slice({a}, {start}, {start} + ({n}) - 1)"
+
+    def concat(self, *arrays: str) -> str:
+        out = arrays[0]
+        for a in arrays[1:]:
+            out = f"list_concat({out}, {a})"
+        return out
+
+    def array(self, *items: str) -> str:
+        return f"[{', '.join(items)}]"
+
+    def item_in(self, x: str, a: str) -> str:
+        return f"list_contains({a}, {x})"
+
+    def some(self, a: str, x: str, cond: str) -> str:
+        return f"(len(list_filter({a}, lambda {x}: {cond})) > 0)"
+
+    def count_to(self, n: str) -> str:
+        return f"range(1, {n} + 1)"
+
+    def join_lines(self, a: str) -> str:
+        return f"array_to_string({a}, chr(10))"
+
+    def split(self, t: str, p: str) -> str:
+        return f"string_split_regex({t}, '{p}')"
+
+    def least_of(self, a: str) -> str:
+        return f"list_min({a})"
+
+    def explode(self, a: str) -> str:
+        return f"unnest({a})"
+
+    def shared(self, a: str, words) -> str:
+        return f"CAST(len(list_intersect({a}, [{', '.join(f"'{w}'" for w in words)}])) AS INTEGER)"
+
+    def fold(self, a: str, start: str, s: str, x: str, step: str) -> str:
+        return f"list_reduce({a}, lambda {s}, {x}: {step}, {start})"
+
+    def ascii(self, t: str) -> str:
+        for c, a in (("\u00a0", " "), ("\u2026", "..."), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\u00bd", "12"), ("\u2122", "TM"), ("\u00aa", "a"), ("\u00ba", "o"), ("\u00b2", "2")):
+            t = f"replace({t}, '{c}', '{a}')"
+        return f"regexp_replace(strip_accents({t}), '[^\\x00-\\x7f]+', '', 'g')"
+
+    def unspaced(self, t: str) -> str:
+        runs = self.found(t, r"\b(?:[A-Za-z][\x09-\x0d\x1c-\x20]){2,}[A-Za-z]\b")
+        return f"list_reduce(list_reverse_sort(list_distinct({runs})), lambda s, m: replace(s, m, replace(m, ' ', '')), {t})"
 
     def lines(self, t: str) -> str:
         return f"string_split({t}, chr(10))"

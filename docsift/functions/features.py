@@ -73,7 +73,7 @@ def g02(d: Spark) -> list[dict[str, str]]:
 def g03(d: Spark) -> list[dict[str, str]]:
     known = lambda words: how_many(d, "low_skills", d.among("x", words))
     weight = d.total(d.each("low_skills", "x", f"CASE WHEN {d.among('x', wl.HIGH_VALUE)} THEN 2.0D WHEN {d.among('x', wl.MID_VALUE)} THEN 1.0D ELSE CAST(0.3 AS DOUBLE) END"))
-    words = d.hits("raw", "[A-Za-z0-9_]+")
+    words = d.hits("raw", r"[\p{L}\p{N}_]+")
     return [
         {
             "skills_count": d.size("skills"), "programming_languages_count": known(wl.PROGRAMMING_LANGUAGES), "framework_count": known(wl.FRAMEWORKS),
@@ -159,7 +159,7 @@ def g09(d: Spark) -> list[dict[str, str]]:
     verbs = " + ".join(how_many(d, a, d.any("x", wl.ACTION_VERBS)) for a in ("low_exp", "low_proj", "low_ach"))
     return [
         {
-            "resume_word_count": d.hits("raw", "[A-Za-z0-9_]+"), "resume_line_count": d.hits("raw", r"(?m)^.*\S.*$"), "bullet_count": d.hits("raw", r"(?m)^\s*[•\-*▸►◦▪]"), "numbers_count": d.hits("raw", tx.NUMBER), "url_count": d.hits("raw", tx.URL),
+            "resume_word_count": d.hits("raw", r"[\p{L}\p{N}_]+"), "resume_line_count": d.hits("raw", r"(?m)^.*\S.*$"), "bullet_count": d.hits("raw", r"(?m)^\s*[•\-*▸►◦▪]"), "numbers_count": d.hits("raw", tx.NUMBER), "url_count": d.hits("raw", tx.URL),
             "action_verb_count": f"({verbs})", "quantified_impact_count": f"({d.hits('t', GAINED)} + {d.hits('t', LED)} + {d.hits('t', TIMES)})", "soft_skill_count": d.count("t", lx.SOFT), "languages_count": d.size("langs"),
             "extra_language_count": how_many(d, "low_langs", f"NOT {d.among('x', wl.COMMON_LANGUAGES)}"), "generic_buzzword_count": d.count("t", lx.BUZZWORDS), "avg_section_length": f"round(section_lines / CAST(greatest({d.size('sections')}, 1) AS DOUBLE), 1)",
         },

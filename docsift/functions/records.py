@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from docsift.functions import wordlists as wl
 from docsift.functions.dialect import Spark, flag
+from docsift.functions.skills import TECH_TERMS
 
 # Fixed values
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -30,7 +31,7 @@ ROUTES = {
 }
 KNOWN_SECTIONS = ("skills", "education", "experience", "projects", "achievements", "languages", "interests", "summary")
 
-TECH_TOKENS = tuple(sorted({*wl.PROGRAMMING_LANGUAGES, *wl.FRAMEWORKS, *wl.DATABASES, *wl.TOOLS}))
+TECH_TOKENS = tuple(sorted({*wl.PROGRAMMING_LANGUAGES, *wl.FRAMEWORKS, *wl.DATABASES, *wl.TOOLS, *TECH_TERMS}))
 
 
 def strip(d: Spark, t: str) -> str:

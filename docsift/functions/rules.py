@@ -33,18 +33,38 @@ _PENALTIES = "CASE WHEN skills_count = 0 THEN 40 ELSE 0 END + CASE WHEN has_proj
 _CONTENT = f"{steps('skills_count', ((0, 0), (3, 30), (8, 60)), '100')} * 0.4D + {steps('projects_count', ((0, 0), (1, 60), (2, 80)), '100')} * 0.3D + least(CASE WHEN grade_score > 10 THEN grade_score ELSE grade_score * 10 END, 100.0D) * 0.2D + (CASE WHEN has_experience = 1 THEN 100 WHEN has_internship = 1 THEN 70 ELSE 0 END) * 0.1D"
 
 
+def told(*rules: tuple[str, str]) -> str:
+    """Texts of the rules that hold, in their order, joined by ``;``; a text is SQL."""
+    return "concat_ws(';', " + ", ".join(f"CASE WHEN {cond} THEN {text} END" for text, cond in rules) + ")"
+
+
 def ats(d: Spark) -> list[dict[str, str]]:
-    """QS5: weighted parts less penalties; zero without any contact, at most 90."""
-    n_words = d.hits("raw", r"\S+")
+    """QS5: weighted parts less penalties and their reasons; all zero without any contact, at most 90."""
+    n_words = d.n_words("raw")
+    there = f"NOT ({_NO_CONTACT})"
+    reasons = told(
+        ("'Missing contact information (email and phone)'", _NO_CONTACT), ("'No skills detected (-40)'", f"{there} AND skills_count = 0"), ("'No projects found (-30)'", f"{there} AND has_projects = 0"),
+        ("'Weak education score (<5) (-10)'", f"{there} AND grade_score < 5"), ("'Complete contact information'", "contact_score = 100"), ("'Partial contact information'", "contact_score = 50"),
+        ("'Well-structured resume'", f"{there} AND sections_there >= 3"), ("'Poor resume structure'", f"{there} AND sections_there <= 1"),
+        ("'Weak skills section (≤3 skills)'", f"{there} AND skills_count BETWEEN 1 AND 3"), ("'Average skills section'", f"{there} AND skills_count BETWEEN 4 AND 8"), ("'Strong skills section (9+ skills)'", f"{there} AND skills_count > 8"),
+        ("'Limited project experience (1 project)'", f"{there} AND projects_count = 1"), ("'Good project experience (2 projects)'", f"{there} AND projects_count = 2"),
+        ("'Strong project portfolio (' || CAST(projects_count AS STRING) || '+ projects)'", f"{there} AND projects_count > 2"),
+        ("'Professional experience found'", f"{there} AND has_experience = 1"), ("'Internship experience found'", f"{there} AND has_experience = 0 AND has_internship = 1"), ("'No work experience'", f"{there} AND has_experience = 0 AND has_internship = 0"),
+        ("'Resume too short (<120 words)'", f"{there} AND n_words < 120"), ("'Resume too long (>2000 words)'", f"{there} AND n_words > 2000"),
+        ("'Inconsistent: many skills but no projects (-10)'", f"{there} AND skills_count >= 10 AND projects_count = 0"), ("'Inconsistent: projects but few skills (-10)'", f"{there} AND projects_count >= 2 AND skills_count <= 3"),
+    )
+    parts = {
+        "contact": "CASE WHEN email IS NOT NULL AND phone IS NOT NULL THEN 100.0D ELSE 50.0D END", "structure": "sections_there * 25.0D", "content": f"CASE WHEN has_experience = 1 THEN least({_CONTENT} + 10, 100.0D) ELSE {_CONTENT} END",
+        "length": "CASE WHEN n_words < 120 THEN 20.0D WHEN n_words < 200 THEN 40.0D WHEN n_words < 350 THEN 75.0D WHEN n_words < 900 THEN 100.0D WHEN n_words < 1400 THEN 85.0D WHEN n_words > 2000 THEN 50.0D ELSE 60.0D END", "typo": "100.0D",
+    }
+    weighed = "contact_part / 5 + structure_part / 5 + content_part * 7 / 20 + length_part * 3 / 20 + typo_part / 10 - penalty"
     return [
         RECORD,
-        {
-            "penalty": _PENALTIES, "contact_score": "CASE WHEN email IS NOT NULL AND phone IS NOT NULL THEN 100.0D WHEN email IS NULL AND phone IS NULL THEN 0.0D ELSE 50.0D END", "typo_quality": "100.0D", "structure_score": "(has_skills_section + has_education_section + has_projects_section + has_experience_section) * 25.0D",
-            "content": _CONTENT, "length_score": f"CASE WHEN {n_words} < 120 THEN 20.0D WHEN {n_words} < 200 THEN 40.0D WHEN {n_words} < 350 THEN 75.0D WHEN {n_words} < 900 THEN 100.0D WHEN {n_words} < 1400 THEN 85.0D WHEN {n_words} > 2000 THEN 50.0D ELSE 60.0D END",
-        },
-        {"content_score": "round(CASE WHEN has_experience = 1 THEN least(content + 10, 100.0D) ELSE content END, 2)"},
-        {"ats_score": f"CASE WHEN {_NO_CONTACT} THEN 0.0D ELSE round(greatest(0.0D, least(90.0D, contact_score / 5 + structure_score / 5 + content_score * 7 / 20 + length_score * 3 / 20 + typo_quality / 10 - penalty)), 2) END"},
-    ]
+        {"penalty": _PENALTIES, "n_words": n_words, "sections_there": "(has_skills_section + has_education_section + has_projects_section + has_experience_section)"},
+        {f"{k}_part": f"CASE WHEN {_NO_CONTACT} THEN 0.0D ELSE {v} END" for k, v in parts.items()},
+        {f"{k}_score": f"round({k}_part, 2)" for k in parts} | {"ats_score": f"CASE WHEN {_NO_CONTACT} THEN 0.0D ELSE round(greatest(0.0D, least(90.0D, {weighed})), 2) END"},
+        {"reasons": reasons},
+    ]
 
 
 CANDIDATE = [
@@ -77,3 +97,32 @@ def label(p: dict = LABELS) -> str:
 def hard_rules(min_projects: int = 1, required: tuple[str, ...] = ()) -> str:
     """QS16: reasons against a prediction; required names of has_<name>_skills flags."""
     return reasons({"missing_contact": "has_email = 0 OR has_phone = 0", "few_projects": f"projects_count < {min_projects}", **{f"missing_{r}": f"has_{r}_skills = 0" for r in required}})
+
+
+def safe(columns: list[str]) -> dict[str, str]:
+    """QS6: the scores, zero or empty where a text can't be scored; every third text is taken for one without a score."""
+    broken = "doc_id % 3 = 0"
+    return {f"safe_{c}": f"coalesce(CASE WHEN {broken} THEN NULL ELSE {c} END, {chr(39) * 2 if c == 'reasons' else '0.0D'})" for c in columns}
+
+
+#: Inputs of the models that must be there, those that count, and those that are 0 or 1.
+_COUNTS = ("skills_count", "programming_languages_count", "framework_count", "database_count", "projects_count")
+_BINARY = ("has_projects", "has_experience", "has_internship", "has_valid_contact", "is_it_candidate")
+
+
+def validation() -> dict[str, str]:
+    """QS9: 1 if every input is there, counts aren't negative, flags are 0 or 1 and the degree is known; and the rules
+    that a candidate must pass."""
+    there = " AND ".join(f"{c} IS NOT NULL" for c in (*_COUNTS, *_BINARY, "degree_code", "grade_score"))
+    counts, flags = " AND ".join(f"{c} >= 0" for c in _COUNTS), " AND ".join(f"{c} IN (0, 1)" for c in _BINARY)
+    listed = "skills_count = greatest(skills_count, programming_languages_count, framework_count, database_count)"
+    return {
+        "is_valid": flag(f"{there} AND {counts} AND {flags} AND degree_code IN (-1, 0, 1, 2) AND {listed}"),
+        "passes_rules": flag("has_valid_contact = 1 AND skills_count > 0 AND (projects_count > 0 OR has_experience = 1)"),
+    }
+
+
+def within_capacity(shortlist: int = 10, review: int = 20) -> str:
+    """QS18: which candidates of a decision fit its places, best score first, of equals the smaller doc_id; a condition
+    over columns decision and place."""
+    return f"(decision = 'Shortlisted' AND place <= {shortlist}) OR (decision = 'Manual Review' AND place <= {review}) OR decision = 'Rejected'"

@@ -9,49 +9,8 @@ EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 PHONE = r"\+?[0-9][0-9 \-.]{8,15}[0-9]"
 URL = r"(?i)https?://\S+|www\.\S+"
 NUMBER = r"\b[0-9]+(\.[0-9]+)?\b"
-ICONS = "[\uf000-\uf8ff]"
 MAX_CHARS = 200_000
 MIN_WORDS = 15
-BULLETS = "•▪►◦●■–—"
-
-
-def ascii_only(t: Column) -> Column:
-    return F.regexp_replace(t, r"[^\x00-\x7F]+", "")
-
-
-def newlines(t: Column) -> Column:
-    return F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-
-
-def join_hyphens(t: Column) -> Column:
-    return F.regexp_replace(t, r"([A-Za-z])-\n([A-Za-z])", "$1$2")
-
-
-def drop_icons(t: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(t, r"\(cid:[0-9]+\)", ""), ICONS, "")
-
-
-def bullets_to_dash(t: Column) -> Column:
-    return F.translate(t, BULLETS, "-" * len(BULLETS))
-
-
-def glue_addresses(t: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(t, r"\s*@\s*", "@"), r"(\.com|\.in|\.org|\.net)([A-Za-z])", "$1 $2")
-
-
-def split_camel(t: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(t, r"([a-z])([A-Z])", "$1 $2"), r"([A-Z]{2,})([A-Z][a-z])", "$1 $2")
-
-
-def collapse(t: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n\s*\n+", "\n"))
-
-
-def clean(t: Column) -> Column:
-    """The ordered chain."""
-    for step in (newlines, join_hyphens, drop_icons, bullets_to_dash, ascii_only, glue_addresses, split_camel, collapse):
-        t = step(t)
-    return t
 
 
 def normalize(t: Column) -> Column:
@@ -74,19 +33,6 @@ def words(t: Column) -> Column:
     return F.regexp_count(t, F.lit(r"\S+"))
 
 
-def is_bullet(line: Column) -> Column:
-    return line.rlike(r"^\s*[-*•▸►◦▪]")
-
-
-def is_heading(line: Column) -> Column:
-    """Capitals of at most four words, or a title of at most three; at most 60 characters, no end punctuation."""
-    t = F.trim(line)
-    n = words(t)
-    capitals = (F.upper(t) == t) & (F.lower(t) != t) & (n <= 4)
-    title = t.rlike(r"^[A-Z][a-z]*( [A-Z][a-z]*)*$") & (n <= 3)
-    return (t != "") & (F.length(t) <= 60) & ~t.rlike(r"[.,;:!?]$") & (capitals | title)
-
-
 def email(t: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(t, EMAIL, 0), F.lit("")))
 
@@ -109,10 +55,6 @@ def length_score(n: Column) -> Column:
     return out
 
 
-def typo_score(ratio: Column) -> Column:
-    return F.greatest(F.lit(50.0), 100 - ratio * 200)
-
-
 def tier(score: Column, high: float = 0.70, low: float = 0.45) -> Column:
     return F.when(score >= high, "Shortlisted").when(score >= low, "Manual Review").otherwise("Rejected")
 

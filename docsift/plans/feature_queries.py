@@ -25,10 +25,11 @@ def _register(name: str, columns: list[str], groups=tuple(features.GROUPS), extr
 
 for _g in features.GROUPS:
     _register(_g, features.names(_g), (_g,) if _g in _ALONE else tuple(features.GROUPS))
-_ATS = ["penalty", "contact_score", "structure_score", "content_score", "length_score", "ats_score"]
+_ATS = ["contact_score", "structure_score", "content_score", "length_score", "typo_score", "ats_score", "reasons"]
 _register("qs5_ats_score", _ATS, extra=rules.ats)
 _register("qs7_qs8_candidate_score", ["candidate_score", "reject_reasons", "passes_rules"], extra=lambda d: rules.CANDIDATE)
 _register("qs13_model_record", list(rules.MODEL_INPUTS), extra=lambda d: [rules.RECORD])
-_register("qs14_it_screening", ["reject_reasons", "screen_score", "decision"], extra=lambda d: rules.SCREEN)
+_register("qs6_safe_score", [f"safe_{c}" for c in _ATS], extra=lambda d: [*rules.ats(d), rules.safe(_ATS)])
+_register("qs9_feature_validation", ["is_valid", "passes_rules"], extra=lambda d: [rules.RECORD, rules.validation()])
 _register("qs15_labels", ["label", "label_strict"], extra=lambda d: [rules.RECORD, {"label": rules.label(), "label_strict": rules.label({**rules.LABELS, "allow_fresher": False})}])
 _register("qs16_hard_rules", ["reasons"], extra=lambda d: [{"reasons": rules.hard_rules(1, ("ai_ml", "web_dev"))}])

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from docsift.functions import lexicons as lx
 from docsift.functions import text as tx
-from docsift.plans import feature_queries, record_queries
+from docsift.plans import builder_queries, cleaning_queries, entity_queries, feature_queries, page_queries, quality_queries, record_queries, rough, section_queries, source_queries  # noqa: F401 - they register queries
 from docsift.operators.sections import ALIASES, section_lines
 from docsift.plans.resumes import DUCKDB, resumes
 
 FLAGSHIP = "qs_candidate_readiness"
-QUERIES: dict = feature_queries.QUERIES | record_queries.QUERIES
-ORACLES: dict[str, str] = feature_queries.ORACLES | record_queries.ORACLES
+QUERIES: dict = feature_queries.QUERIES | record_queries.QUERIES | rough.QUERIES | source_queries.QUERIES | page_queries.QUERIES
+ORACLES: dict[str, str] = feature_queries.ORACLES | record_queries.ORACLES | rough.ORACLES | source_queries.ORACLES | page_queries.ORACLES
 
 
 def _query(oracle: str | None = None):
@@ -30,34 +30,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
-_ASCII = "regexp_replace(text, '[^\\x00-\\x7F]+', '', 'g')"
 _count = lambda t, p: f"CAST(len(regexp_extract_all({t}, '{p}')) AS INTEGER)"
 _any = lambda t, words: "CASE WHEN " + " OR ".join(f"contains({t}, '{w}')" for w in words) + " THEN 1 ELSE 0 END"
 _sum = lambda t, words: "CAST(" + " + ".join(f"CASE WHEN contains({t}, '{w}') THEN 1 ELSE 0 END" for w in words) + " AS INTEGER)"
 
 
-@_query("SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents")
-def tx1a_newlines(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", tx.newlines(F.col("text")).alias("text"))
-
-
-def _clean_sql(t: str) -> str:
-    t = f"replace(replace({t}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
-    for pattern, to in (
-        (r"([A-Za-z])-\n([A-Za-z])", r"\1\2"), (r"\(cid:[0-9]+\)", ""), (tx.ICONS, ""), (f"[{tx.BULLETS}]", "-"), (r"[^\x00-\x7F]+", ""),
-        (r"\s*@\s*", "@"), (r"(\.com|\.in|\.org|\.net)([A-Za-z])", r"\1 \2"), (r"([a-z])([A-Z])", r"\1 \2"), (r"([A-Z]{2,})([A-Z][a-z])", r"\1 \2"),
-        (r"[ \t]+", " "), (r"\n\s*\n+", r"\n"),
-    ):
-        to = "' || chr(10) || '" if to == r"\n" else to
-        t = f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
-    return f"trim({t})"
-
-
-@_query(f"SELECT doc_id, {_clean_sql('text')} AS text FROM documents")
-def tx1_clean_text(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", tx.clean(F.col("text")).alias("text"))
-
-
 @_query("SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS text FROM documents")
 def tx8_normalize_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.normalize(F.col("text")).alias("text"))
@@ -74,19 +51,6 @@ def tx10_usable_text(spark, sf_dir):
     return _docs(spark, sf_dir).filter(tx.words(F.col("text")) >= tx.MIN_WORDS).select("doc_id", F.substring("text", 1, tx.MAX_CHARS).alias("text"))
 
 
-@_query("""
-WITH each AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT doc_id, line, trim(line) AS s FROM each WHERE trim(line) <> '')
-SELECT doc_id, count(*) AS n_lines, sum(CASE WHEN regexp_matches(line, '^\\s*[-*•▸►◦▪]') THEN 1 ELSE 0 END)::BIGINT AS n_bullets,
-  sum(CASE WHEN length(s) <= 60 AND NOT regexp_matches(s, '[.,;:!?]$') AND (
-    (upper(s) = s AND lower(s) <> s AND len(regexp_extract_all(s, '\\S+')) <= 4)
-    OR (regexp_matches(s, '^[A-Z][a-z]*( [A-Z][a-z]*)*$') AND len(regexp_extract_all(s, '\\S+')) <= 3)) THEN 1 ELSE 0 END)::BIGINT AS n_headings
-FROM t GROUP BY doc_id""")
-def tx4_line_kinds(spark, sf_dir):
-    each = _docs(spark, sf_dir).select("doc_id", tx.full_lines(F.col("text")).alias("l")).filter(F.size("l") > 0)
-    count = lambda f: F.size(F.filter("l", f)).cast("long")
-    return each.select("doc_id", F.size("l").cast("long").alias("n_lines"), count(tx.is_bullet).alias("n_bullets"), count(tx.is_heading).alias("n_headings"))
-
-
 _phone_sql = lambda t: f"list_filter(list_transform(regexp_extract_all({t}, '{tx.PHONE}'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) BETWEEN 10 AND 13)[1]"
 _email_sql = lambda t: f"lower(nullif(regexp_extract({t}, '{tx.EMAIL}'), ''))"
 
@@ -97,16 +61,17 @@ def en_contacts(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.email(t).alias("email"), tx.phone(t).alias("phone"), F.regexp_count(t, F.lit(tx.URL)).alias("url_count"))
 
 
+_TOKEN = r"[\p{L}\p{N}_]+"
+
+
 @_query(f"""
-WITH a AS (SELECT doc_id, {_ASCII} AS t FROM documents), c AS (
-SELECT doc_id, {_count('t', '[A-Za-z0-9_]+')} AS resume_word_count, CAST(len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')) AS INTEGER) AS resume_line_count,
-  {_count('t', tx.NUMBER)} AS numbers_count, {_count('t', tx.URL)} AS url_count FROM a)
+WITH c AS (SELECT doc_id, {_count('text', _TOKEN)} AS resume_word_count, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS INTEGER) AS resume_line_count,
+  {_count('text', tx.NUMBER)} AS numbers_count, {_count('text', tx.URL)} AS url_count FROM documents)
 SELECT *, CASE WHEN resume_word_count BETWEEN 300 AND 700 THEN 1 ELSE 0 END AS is_length_optimal,
   CASE WHEN resume_word_count < 150 THEN 1 ELSE 0 END AS is_too_short, CASE WHEN resume_word_count > 1200 THEN 1 ELSE 0 END AS is_too_long FROM c""")
 def g09_format_features(spark, sf_dir):
-    t, n = F.col("t"), F.col("resume_word_count")
-    docs = _docs(spark, sf_dir).select("doc_id", tx.ascii_only(F.col("text")).alias("t"))
-    docs = docs.select("doc_id", F.regexp_count(t, F.lit("[A-Za-z0-9_]+")).alias("resume_word_count"), F.size(tx.full_lines(t)).alias("resume_line_count"), F.regexp_count(t, F.lit(tx.NUMBER)).alias("numbers_count"), F.regexp_count(t, F.lit(tx.URL)).alias("url_count"))
+    t, n = F.col("text"), F.col("resume_word_count")
+    docs = _docs(spark, sf_dir).select("doc_id", F.regexp_count(t, F.lit(_TOKEN)).alias("resume_word_count"), F.size(tx.full_lines(t)).alias("resume_line_count"), F.regexp_count(t, F.lit(tx.NUMBER)).alias("numbers_count"), F.regexp_count(t, F.lit(tx.URL)).alias("url_count"))
     flag = lambda c: F.when(c, 1).otherwise(0)
     return docs.select("*", flag(n.between(300, 700)).alias("is_length_optimal"), flag(n < 150).alias("is_too_short"), flag(n > 1200).alias("is_too_long"))
 
@@ -133,12 +98,6 @@ f AS (SELECT *, last_value(opens IGNORE NULLS) OVER (PARTITION BY doc_id ORDER B
 b AS (SELECT doc_id, section, pos, line FROM f WHERE opens IS NULL AND section IS NOT NULL AND trim(line) <> '')"""
 
 
-@_query(_SECTIONS + " SELECT doc_id, section, count(*) AS n_lines, string_agg(line, '|' ORDER BY pos) AS body FROM b GROUP BY doc_id, section")
-def se5_sections(spark, sf_dir):
-    each = section_lines(resumes(spark, sf_dir)).groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
-    return each.select("doc_id", "section", F.size("l").cast("long").alias("n_lines"), F.array_join("l.line", "|").alias("body"))
-
-
 _READY = _SECTIONS + f""", c AS (SELECT doc_id, count(DISTINCT section) AS section_count, count(*) FILTER (WHERE section = 'skills') AS skills_count,
   count(*) FILTER (WHERE section = 'projects') AS projects_count, count(*) FILTER (WHERE section = 'experience') AS experience_count FROM b GROUP BY doc_id),
 m AS (SELECT c.*, {_email_sql('r.text')} AS email, {_phone_sql('r.text')} AS phone, len(regexp_extract_all(r.text, '\\S+')) AS n_words FROM c JOIN r USING (doc_id)),
@@ -160,10 +119,3 @@ def qs_candidate_readiness(spark, sf_dir):
     points = F.col("contact_score") * 0.5 + F.least(F.col("skills_count"), F.lit(10)) * 2.5 + F.when(F.col("projects_count") > 0, 15).otherwise(0) + F.when(F.col("experience_count") > 0, 10).otherwise(0)
     scored = counts.join(known, "doc_id").withColumn("candidate_score", F.round(F.least(F.lit(100.0), points), 2))
     return scored.withColumn("decision", tx.tier(F.col("candidate_score"), 70, 45))
-
-
-@_query("SELECT event_type, count(*) AS n, sum(CASE WHEN value >= 0.7 THEN 1 ELSE 0 END)::BIGINT AS shortlisted, sum(CASE WHEN value >= 0.45 AND value < 0.7 THEN 1 ELSE 0 END)::BIGINT AS review FROM events GROUP BY event_type")
-def qs17_tiers(spark, sf_dir):
-    scored = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", tx.tier(F.col("value")).alias("tier"))
-    count = lambda x: F.count(F.when(F.col("tier") == x, 1))
-    return scored.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), count("Shortlisted").alias("shortlisted"), count("Manual Review").alias("review"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 MAX_BYTES = 10 * 1024 * 1024
 SUFFIXES = ("pdf", "docx")
 MIN_LINES, MAX_LINES = 3, 5000
+MIN_BLOCK_WORDS = 20
 #: An archive of at most MAX_BYTES may unpack to much more; beyond this it is refused unread.
 MAX_UNPACKED = 200 * 1024 * 1024
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -22,6 +23,11 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, modificationTime, length, content, suffix, status (ok, too_large, unsupported) of every file below; Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return with_status(files)
+
+
+def with_status(files: DataFrame) -> DataFrame:
+    """Adds suffix and status."""
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     status = F.when(~suffix.isin(*SUFFIXES), "unsupported").when(F.col("length") > MAX_BYTES, "too_large").otherwise("ok")
     return files.withColumns({"suffix": suffix, "status": status})
@@ -67,11 +73,30 @@ def extract_text(files: DataFrame, pdf_text: Callable[[bytes], str] | None = Non
     return files.select("path", "suffix", "status", readable.alias("content")).mapInPandas(read, "path string, text string, error string")
 
 
-def two_columns(blocks: Column, page_width: float) -> Column:
-    """Texts of (x1, text) blocks of a page: left before right if both sides hold over four blocks, else as they come."""
-    left = F.filter(blocks, lambda b: b["x1"] < page_width / 2)
-    right = F.filter(blocks, lambda b: b["x1"] >= page_width / 2)
-    return F.transform(F.when((F.size(left) > 4) & (F.size(right) > 4), F.concat(left, right)).otherwise(blocks), lambda b: b["text"])
+def two_columns(blocks: Column, page_width: Column | float) -> Column:
+    """Texts of (x0, y0, x1, text) blocks of a page, from the top: all that end left of the middle before the others if
+    both sides hold over four, else as they come."""
+    ordered = F.array_sort(F.transform(blocks, lambda b: F.struct(b["y0"].alias("y0"), b["x0"].alias("x0"), b["x1"].alias("x1"), b["text"].alias("text"))))
+    left = F.filter(ordered, lambda b: b["x1"] < page_width / 2)
+    right = F.filter(ordered, lambda b: b["x1"] >= page_width / 2)
+    return F.transform(F.when((F.size(left) > 4) & (F.size(right) > 4), F.concat(left, right)).otherwise(ordered), lambda b: b["text"])
+
+
+def page_text(pages: DataFrame, plain: DataFrame | None = None) -> DataFrame:
+    """doc_id, text of (doc_id, page, width, blocks): the blocks of all pages in column order, and below them the projects
+    recovered from the raw lines. Where they hold fewer than MIN_BLOCK_WORDS words, ``plain`` (doc_id, text) counts."""
+    from docsift.operators.layout import register_layout
+
+    _, recover = register_layout(pages.sparkSession)
+    ordered = pages.select("doc_id", "page", F.array_join(two_columns(F.col("blocks"), F.col("width")), "\n").alias("text"))
+    whole = ordered.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("text"))
+    if plain is not None:
+        sparse = F.regexp_count("text", F.lit(r"\S+")) < MIN_BLOCK_WORDS
+        whole = whole.join(plain.select("doc_id", F.col("text").alias("plain")), "doc_id", "left").select("doc_id", F.when(sparse, F.coalesce("plain", "text")).otherwise(F.col("text")).alias("text"))
+    found = whole.withColumn("found", F.expr(f"{recover}(split(text, '\\n', -1))"))
+    more = F.concat(F.lit("\n\n[RECOVERED_PROJECTS]\n"), F.array_join("found", "\n"))
+    text = F.when(F.size("found") > 0, F.concat(F.col("text"), more)).otherwise(F.col("text"))
+    return found.select("doc_id", F.replace(text, F.lit("\r"), F.lit("\n")).alias("text"))
 
 
 def load_wordlist(spark: SparkSession, path: str, limit: int = 100_000) -> tuple[str, ...]:
