@@ -89,7 +89,8 @@ def test_leaks_by_brute_force(spark, exam):
         got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(*frames, max_tokens=max_tokens).collect()}
         # shards have longest items of their own, and so other passages; pairs found and scores of whole items don't differ
         if max_tokens == 500_000:
-            assert {k: (v.overlap, round(v.score, 5), v.question_overlap, v.answer_overlap) for k, v in got.items()} == want
+            assert {k: (v.overlap, v.question_overlap, v.answer_overlap) for k, v in got.items()} == {k: (x[0], *x[2:]) for k, x in want.items()}
+            assert all(abs(got[k].score - x[1]) < 1e-4 for k, x in want.items())
             whole = {k: v.score for k, v in got.items() if v.overlap == 1}
         assert {k for k, v in got.items() if v.overlap == 1} == set(whole)
     # a passage that has all terms of an item has its whole score, whatever the shard
