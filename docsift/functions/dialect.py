@@ -183,8 +183,9 @@ class Spark:
         more = {c: a for c, a in decompositions().items() if len(a) > 1}
         folded = f"translate({t}, '{''.join(one)}', '{''.join(one.values())}')"
         table = f"map_from_arrays(split('{chr(1).join(more)}', chr(1)), split('{chr(1).join(more.values())}', chr(1)))"
-        each = f"array_join(transform(regexp_extract_all({folded}, '(?s).', 0), c -> coalesce(try_element_at({table}, c), c)), '')"
-        return f"regexp_replace(CASE WHEN regexp_like({t}, '[{''.join(more)}]') THEN {each} ELSE {folded} END, r'[^\x00-\x7f]+', '')"
+        each = f"array_join(transform(regexp_extract_all({folded}, '(?s).', 0), c -> if(octet_length(c) = 1, c, coalesce(try_element_at({table}, c), c))), '')"
+        longer = f"translate({t}, '{''.join(more)}', '') <> {t}"
+        return f"regexp_replace(CASE WHEN {longer} THEN {each} ELSE {folded} END, r'[^\x00-\x7f]+', '')"
 
     def unspaced(self, t: str) -> str:
         """Without blanks in runs of three or more single letters."""

@@ -56,8 +56,8 @@ def tokens(d: Spark, t: str, stopwords: tuple[str, ...] = (), min_length: int =
     return d.where(d.found(f"lower({t})", "[a-z0-9]+"), "w", f"length(w) >= {min_length} AND {d.match('w', '[a-z]')}{stop}")
 
 
-def is_noise_line(d: Spark, line: str) -> str:
-    s = strip(d, line)
+def is_noise_line(d: Spark, line: str, stripped: bool = False) -> str:
+    s = line if stripped else strip(d, line)
     short_caps = f"({d.match(s, '^[^a-z]*$')} AND {d.match(s, '[A-Z]')} AND {n_words(d, s)} = 1 AND length({s}) <= 5)"
     return f"(length({s}) < 3 OR length({s}) > 200 OR {short_caps} OR {d.match(s, '^[^a-zA-Z0-9]+$')})"
 
@@ -66,9 +66,9 @@ def is_contact_line(d: Spark, line: str) -> str:
     return d.match(line, r"(?i)@|https?://|www\.|\d{7,}")
 
 
-def is_header_line(d: Spark, line: str, known: tuple[str, ...] = ()) -> str:
+def is_header_line(d: Spark, line: str, known: tuple[str, ...] = (), stripped: bool = False) -> str:
     """A known header, capitals of at most four words, or a title of at most three without end punctuation."""
-    s = strip(d, line)
+    s = line if stripped else strip(d, line)
     capitals = f"({d.match(s, '[A-Z]')} AND NOT {d.match(s, '[a-z]')} AND {n_words(d, s)} <= 4)"
     title = f"({d.match(s, '^[^A-Za-z]*([A-Z][a-z]*[^A-Za-z]+)*[A-Z][a-z]*[^A-Za-z]*$')} AND {n_words(d, s)} <= 3 AND NOT {d.match(s, '[.,;:]$')})"
     is_known = f"{d.among(f'lower({s})', known)} OR " if known else ""
@@ -150,9 +150,9 @@ def has_internship(d: Spark, lines: str) -> str:
     return flag(f"{d.size(d.where(lines, 'y', "contains(lower(y), 'intern')"))} > 0")
 
 
-def route(d: Spark, line: str, tech: tuple[str, ...] = TECH_TOKENS) -> str:
+def route(d: Spark, line: str, tech: tuple[str, ...] = TECH_TOKENS, lowered: bool = False) -> str:
     """Section of a line without headers, the first that fits; null for a blank line."""
-    t = f"lower({line})"
+    t = line if lowered else f"lower({line})"
     cases = "".join(f" WHEN {d.any(t, words)}{f' OR {d.match(t, DATE_RANGE)}' if k == 'projects' else ''} THEN '{k}'" for k, words in ROUTES.items())
     return f"CASE WHEN {strip(d, line)} = '' THEN NULL{cases} WHEN {d.any(t, tech)} THEN 'skills' WHEN {n_words(d, line)} >= 8 THEN 'summary' ELSE 'interests' END"
 

@@ -208,7 +208,8 @@ def _strategies(d: Spark) -> list[dict[str, str]]:
     return [
         *section_layers(d, "clean"), *hd.blocks(d)[1:],
         {"routed_lines": d.where("lines", "x", "x <> ''")},
-        {"routed": d.each("routed_lines", "x", rc.route(d, "x"))},
+        {"low_routed": d.each("routed_lines", "x", "lower(x)")},
+        {"routed": d.each("low_routed", "x", rc.route(d, "x", lowered=True))},
         {"s3_every": d.array(*[d.each(d.where(d.count_to(d.size("routed")), "i", f"{d.at('routed', 'i')} = '{r}'"), "i", d.at("routed_lines", "i")) for r in routes]), "route_names": d.array(*[f"'{r}'" for r in routes])},
     ]
 

@@ -48,10 +48,10 @@ def _register(name: str, base: str, columns: list[str], layers) -> None:
 
 
 def _facts(d):
-    number = lambda f: d.size(d.where("lines", "x", f(d, "x")))
+    number = lambda f, **k: d.size(d.where("lines", "x", f(d, "x", **k)))
     return [
-        {"lines": d.lines("text")},
-        {"n_urls": d.size(rc.urls(d, "text")), "n_years": d.size(rc.years(d, "text")), "n_tokens": d.size(rc.tokens(d, "text", ("the", "and"))), "n_noise": number(rc.is_noise_line), "n_contact": number(rc.is_contact_line), "n_header": number(rc.is_header_line)},
+        {"lines": d.each(d.lines("text"), "x", rc.strip(d, "x"))},
+        {"n_urls": d.size(rc.urls(d, "text")), "n_years": d.size(rc.years(d, "text")), "n_tokens": d.size(rc.tokens(d, "text", ("the", "and"))), "n_noise": number(rc.is_noise_line, stripped=True), "n_contact": number(rc.is_contact_line), "n_header": number(rc.is_header_line, stripped=True)},
     ]
 
 
@@ -72,7 +72,8 @@ def _experience(d):
 def _routes(d):
     names = [*rc.ROUTES, "skills", "summary", "interests"]
     return [
-        {"routed": d.each(d.lines("text"), "x", rc.route(d, "x"))},
+        {"low_lines": d.each(d.lines("text"), "x", "lower(x)")},
+        {"routed": d.each("low_lines", "x", rc.route(d, "x", lowered=True))},
         {f"n_{s}": d.size(d.where("routed", "x", f"x = '{s}'")) for s in names},
     ]
 
