@@ -241,3 +241,15 @@ def test_empty(empty, spark, tmp_path):
     assert url_filter.judge(pages).count() == 0
     warc.archive_pages(pages, str(tmp_path / "e"))
     assert warc.read_archive(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_frame_rows(spark):
+    r = random.Random(7)
+    texts = ["".join(chr(r.randrange(32, 127)) for _ in range(n)) for n in (24 * 240 * 2 + 100, 10)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = gif.frames(gif.store(docs)).orderBy("doc_id", "frame").collect()
+    assert [(x.doc_id, x.frame, x.start_cs, x.delay_cs, x.width) for x in rows] == [(0, 0, 0, 4, 24), (0, 1, 4, 4, 24), (0, 2, 8, 4, 24), (1, 0, 0, 4, 24), (2, 0, 0, 4, 24)]
+    for x, text in ((rows[0], texts[0]), (rows[3], texts[1]), (rows[4], "")):
+        shown = gif.padded(text.encode())[: 24 * 240]
+        want = Counter((v >> 6) * 21 for v in shown)
+        assert {k: n for k, n in enumerate(x.histogram) if n} == want
