@@ -39,6 +39,8 @@ MIN_PART = 0.5
 BLOCK = 16
 K1, B = 1.2, 0.75
 MAX_TOKENS = 500_000
+#: Block maxima, and bounds of passages and blocks, that are added up at once.
+EXPANDED = 1 << 20
 #: Of a shard's index as it is sent.
 MAX_BYTES = 256 << 20
 
@@ -166,15 +168,21 @@ def build(items: list[tuple[int, str]], counts: Counts | None = None, min_overla
     )
 
 
-def open_blocks(index: Index, terms: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Items that reach their thresholds, with their scores over them, of a passage's ``inside`` terms (sorted), of which
-    ``terms`` are essential. Blocks that can't reach it are not opened."""
-    spans = [slice(index.term_at[t], index.term_at[t + 1]) for t in terms]
-    at = np.concatenate([index.in_block[s] for s in spans])
-    bound = np.bincount(at, np.concatenate([index.maxima[s] for s in spans]), len(index.rest)) + index.rest
-    bound[np.bincount(at, minlength=len(index.rest)) == 0] = 0  # the rest alone stays below the threshold
+def blocks_to_open(index: Index, passage: np.ndarray, terms: np.ndarray, passages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Passages (numbered from 0, in order) and their blocks whose maxima, of the passage's essential terms and of all
+    others, add up to the threshold. Without an essential term a block has its rest, which stays below."""
+    begin, blocks = index.term_at[terms], len(index.rest)
+    count = index.term_at[terms + 1] - begin
+    at = vec.ranges(begin, count)
+    bound = np.bincount(np.repeat(passage, count) * blocks + index.in_block[at], index.maxima[at], passages * blocks)
+    reached = np.flatnonzero(bound.reshape(passages, blocks) + index.rest >= 1)
+    return reached // blocks, reached % blocks
+
+
+def open_blocks(index: Index, blocks: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items of the blocks that reach their thresholds, with their scores over them, of a passage's terms (sorted)."""
     items, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for b in np.flatnonzero(bound >= 1):
+    for b in blocks:
         own = slice(index.block_at[b], index.block_at[b + 1])
         place = np.minimum(np.searchsorted(inside, index.posting_term[own]), len(inside) - 1)
         held = inside[place] == index.posting_term[own]
@@ -211,14 +219,28 @@ def search(index: Index, hashes: np.ndarray, first: np.ndarray) -> list[tuple[in
     bound = np.add.reduceat(index.most[terms], begin) + index.rest.max()
     out: dict[tuple[int, int], tuple] = {}
     ends = np.append(begin[1:], len(terms))
-    for k in np.flatnonzero(bound >= 1):
+    # so many passages at a time that their expanded maxima and bounds stay small
+    most = np.concatenate([[0], np.cumsum((index.term_at[terms + 1] - index.term_at[terms]))])[np.append(begin, len(terms))]
+    opened: list[tuple[int, np.ndarray]] = []
+    start = 0
+    while start < len(begin):
+        end = min(int(np.searchsorted(most, most[start] + EXPANDED, "right")) - 1, start + EXPANDED // len(index.rest))
+        end = min(max(end, start + 1), len(begin))
+        chosen = slice(begin[start], ends[end - 1])
+        which, block = blocks_to_open(index, np.repeat(np.arange(end - start), ends[start:end] - begin[start:end]), terms[chosen], end - start)
+        cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else which
+        opened += [(start + int(which[i]), block[i:j]) for i, j in zip(cuts, np.append(cuts[1:], len(which)), strict=True)]
+        start = end
+    for k, blocks in opened:
+        if bound[k] < 1:
+            continue
         p = int(passage[begin[k]])
         r = int(np.searchsorted(base, p, "right") - 1)
         a = int(first[r] + (p - base[r]) * step)
         b = int(min(a + 2 * step, first[r + 1]))
         inside = np.unique(term[np.searchsorted(where, a) : np.searchsorted(where, b)])
         made: dict[int, np.ndarray] = {}
-        for item, score in zip(*open_blocks(index, terms[begin[k] : ends[k]], inside), strict=True):
+        for item, score in zip(*open_blocks(index, blocks, inside), strict=True):
             shares = []
             for part, size in enumerate(index.part_size[item].tolist()):
                 if size not in made:
