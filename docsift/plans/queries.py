@@ -9,7 +9,7 @@ from docsift.functions import lexicons as lx
 from docsift.functions import text as tx
 from docsift.plans import builder_queries, cleaning_queries, entity_queries, feature_queries, page_queries, quality_queries, record_queries, rough, section_queries, source_queries  # noqa: F401 - they register queries
 from docsift.operators.sections import ALIASES, section_lines
-from docsift.plans.resumes import DUCKDB, resumes
+from docsift.plans.resumes import DUCKDB, resumes, spread
 
 FLAGSHIP = "qs_candidate_readiness"
 QUERIES: dict = feature_queries.QUERIES | record_queries.QUERIES | rough.QUERIES | source_queries.QUERIES | page_queries.QUERIES
@@ -27,7 +27,7 @@ def _query(oracle: str | None = None):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 _count = lambda t, p: f"CAST(len(regexp_extract_all({t}, '{p}')) AS INTEGER)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from docsift.functions import records as rc
 from docsift.functions.dialect import DuckDB, Spark, flag
 from docsift.plans.profiles import PARTS, candidates, duckdb_sql, profiles
-from docsift.plans.resumes import DUCKDB, resumes
+from docsift.plans.resumes import DUCKDB, resumes, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,11 +29,11 @@ def _register(name: str, base: str, columns: list[str], layers) -> None:
 
     def run(spark, sf_dir):
         if base == "texts":
-            docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+            docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
             both = docs.union(resumes(spark, sf_dir).selectExpr("doc_id + 1000000000", "text"))
             out = spark.sql(_TEXTS.replace("{pattern}", r"r'[^\x00-\x7F]+', ''"), texts=both)
         else:
-            out = spark.sql(_CUSTOMERS, customer=spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name"))
+            out = spark.sql(_CUSTOMERS, customer=spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")))
         for layer in layers(Spark()):
             out = out.selectExpr("*", *[f"{v} AS {k}" for k, v in layer.items()])
         return out.select("doc_id", *columns)

@@ -28,6 +28,12 @@ FROM {{customer}}
 DUCKDB = SQL.format(string="VARCHAR", customer="customer")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The rows over all cores where a small input would occupy a few; larger inputs have partitions enough and stay."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    customer = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"))
     return spark.sql(SQL.replace("{string}", "STRING"), customer=customer)

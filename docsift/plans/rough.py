@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docsift.functions.dialect import DuckDB, Spark
+from docsift.plans.resumes import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -54,10 +55,10 @@ BASES = {
 
 
 def texts(spark: SparkSession, sf_dir: str, base: str = "both") -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    customer = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"))
     if base == "rough":
         return spark.sql(BASES[base], customer=customer)
-    return spark.sql(BASES[base], documents=spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), customer=customer)
+    return spark.sql(BASES[base], documents=spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), customer=customer)
 
 
 def python_call(name: str) -> Callable[[str], str]:
