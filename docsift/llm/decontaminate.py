@@ -228,8 +228,8 @@ def search(index: Index, hashes: np.ndarray, first: np.ndarray) -> list[tuple[in
         end = min(max(end, start + 1), len(begin))
         chosen = slice(begin[start], ends[end - 1])
         which, block = blocks_to_open(index, np.repeat(np.arange(end - start), ends[start:end] - begin[start:end]), terms[chosen], end - start)
-        cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else which
-        opened += [(start + int(which[i]), block[i:j]) for i, j in zip(cuts, np.append(cuts[1:], len(which)), strict=True)]
+        cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1], True]) if len(which) else np.zeros(1, np.int64)
+        opened += [(start + int(which[i]), block[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         start = end
     for k, blocks in opened:
         if bound[k] < 1:

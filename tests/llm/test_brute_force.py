@@ -191,3 +191,11 @@ def test_quality_held_out(spark):
 
     want = [1 / (1 + np.exp(-(w[-1] + quality.SCALE * np.mean(w[at[first[k] : first[k + 1]]])))) for k in range(2)]
     assert np.allclose(quality._scores(w, bits, pa.array(["Ab cd.", " Ab"])), want, atol=1e-6)
+
+
+def test_passages_without_open_blocks():
+    """Known terms, none or few, that open no block."""
+    index = decontaminate.build([(k, f"alpha{k} beta{k} gamma{k} delta{k}? the eps{k} zeta{k}.") for k in range(40)])
+    for text, want in ((b"the other words", 0), (b"", 0), (b"alpha3 the", 0), (b"alpha3 beta3 gamma3 delta3? the eps3 zeta3. " * 3, 1)):
+        hashes, _, first = decontaminate.tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert len(decontaminate.search(index, hashes, first)) == want
