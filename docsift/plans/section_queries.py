@@ -12,15 +12,20 @@ def _start(d):
     return en.lines_layer(d)
 
 
+def _plains(d):
+    """Arrays of their own, as what stands in a lambda is computed anew wherever it is named."""
+    return [{"lines": d.each("doc_lines", "x", d.strip("x"))}, {"plains": d.each("lines", "x", hd.plain(d, "x"))}]
+
+
 def _sections(d):
     return [*_start(d), *hd.sections(d)]
 
 
 register(
     "se1_se2_header_aliases", ["found"],
-    lambda d: [*_start(d), {"found": d.join_lines(d.each(d.where("doc_lines", "x", f"{hd.lookup(d, hd.plain(d, 'x'), hd.ALIASES)} IS NOT NULL"), "x", f"{hd.plain(d, 'x')} || '=' || {hd.lookup(d, hd.plain(d, 'x'), hd.ALIASES)}"))}],
+    lambda d: [*_start(d), *_plains(d), {"named": d.each("plains", "x", f"x || '=' || {hd.lookup(d, 'x', hd.ALIASES)}")}, {"found": d.join_lines(d.where("named", "x", "x IS NOT NULL"))}],
 )
-register("se3_headers", ["found"], lambda d: [*_start(d), {"keys": d.each("doc_lines", "x", hd.header(d, d.strip("x")))}, {"found": d.join(d.where("keys", "x", "x IS NOT NULL"), "|")}])
+register("se3_headers", ["found"], lambda d: [*_start(d), *_plains(d), {"keys": d.each(d.count_to(d.size("lines")), "i", hd.header(d, d.at("lines", "i"), d.at("plains", "i")))}, {"found": d.join(d.where("keys", "x", "x IS NOT NULL"), "|")}])
 register("se4_merged_headers", ["merged_text"], lambda d: [*_start(d), *hd.merged_lines(d), {"merged_text": d.join_lines("merged")}])
 register("se5_sections", ["sections"], lambda d: [*_sections(d), {"sections": hd.shown(d, "section")}])
 register("se8_block_sections", ["blocks"], lambda d: [*_start(d), *hd.blocks(d), {"blocks": hd.shown(d, "block")}])
