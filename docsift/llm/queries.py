@@ -6,10 +6,13 @@ from . import mixing, url_filter, warc
 from .decontaminate import op3_benchmark_decontamination
 from .gif import op2_gif_media
 from .language import op5_language_id
+from .minhash import op11_minhash_near_dedup
+from .periodic_runs import op12_periodic_runs
 from .quality import op7_quality_classifier
 from .simhash import op10_simhash_near_dedup
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op6_suffix_array_dedup
+from .whitening import op13_whitening
 
 QUERIES = {
     f.__name__: f
@@ -24,6 +27,9 @@ QUERIES = {
         mixing.op8_mixing,
         url_filter.op9_url_filters,
         op10_simhash_near_dedup,
+        op11_minhash_near_dedup,
+        op12_periodic_runs,
+        op13_whitening,
     )
 }
 
