@@ -307,11 +307,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     rows = persisted(marked(docs, shingle))
     nodes = persisted(rows.filter("size > 0").drop("doc_id").dropDuplicates(["node"]))
     links = confirmed(docs, nodes, best(nodes, stars(nodes, percent), percent), shingle, percent)
-    label = components(links, 4, whole=False)
+    label = components(links, 3, whole=False)
     links = links.union(confirmed(docs, nodes, best(nodes, outsiders(nodes, label, percent), percent), shingle, percent))
-    label = components(links)
+    label = components(links, 3, whole=False, known=label)
     rest = confirmed(docs, nodes, remaining(nodes, label, percent), shingle, percent)
-    label = components(links.union(rest)) if rest.limit(1).count() else label
+    label = components(links.union(rest), known=label)
     # only sets of several rows or with links have another component than their row
     own = rows.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).join(label, "node", "left")
     own = own.filter("n > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "node"))

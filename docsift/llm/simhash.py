@@ -131,11 +131,14 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = 200_000) -> D
     return tiled.repartition(parts, "tile", "value", "span").select("node", "bits", "tile", "span").mapInArrow(_tiles(masks, radius), "src long, dst long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60, whole: bool = True) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, whole: bool = True, known: DataFrame | None = None) -> DataFrame:
     """node, label: the least node that each node of ``edges`` (src, dst) reaches; if not ``whole``, one that it reaches
-    within so many rounds."""
+    within so many rounds. ``known``: labels of some of the edges, to begin with."""
     both = persisted(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = persisted(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("label")))
+    if known is not None:
+        before = known.select("node", F.col("label").alias("known"))
+        labels = persisted(labels.join(before, "node", "left").select("node", F.least("label", "known").alias("label")))
     for _ in range(rounds):
         seen = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("seen"))
         near = labels.join(seen, "node").select("node", F.least("label", "seen").alias("label"), F.col("label").alias("was"))
