@@ -58,14 +58,17 @@ def stretches(ids: np.ndarray, first: np.ndarray, low: int, high: int, min_exp:
         row = some[:m] & some[1 : m + 1] if times > 1 else some[:m]
         for k in range(2, times):
             row &= some[k : m + k]
-        if not row.any():
+        at = np.flatnonzero(row)
+        if not len(at):
             continue
-        edges = np.flatnonzero(np.diff(hit.view(np.int8), prepend=0, append=0))
-        begin, end = edges[::2], edges[1::2]
-        enough = end - begin >= need
-        begin, end = begin[enough], end[enough]
-        at = np.searchsorted(first, begin, "right") - 1
-        found.append(np.stack([at, begin - first[at], end - begin + lag, np.full(len(at), lag)], 1))
+        # only texts with such entries are looked at closely
+        for k in np.unique(np.searchsorted(first, at * step, "right") - 1).tolist():
+            a = int(first[k])
+            edges = np.flatnonzero(np.diff(hit[a : min(int(first[k + 1]), n)].view(np.int8), prepend=0, append=0))
+            begin, end = edges[::2], edges[1::2]
+            enough = end - begin >= need
+            begin, end = begin[enough], end[enough]
+            found.append(np.stack([np.full(len(begin), k), begin, end - begin + lag, np.full(len(begin), lag)], 1))
     return np.concatenate(found)
 
 
@@ -174,11 +177,12 @@ def periodic_runs(docs: DataFrame, min_exp: int = MIN_EXP, min_words: int = MIN_
     """doc_id, runs (start, length and period of each, by start, then period), collapsed_text of each of (doc_id, text)."""
     if min_exp < 2 or min_words < 2:
         raise ValueError("a run has two periods and two words at least")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    is_long = F.coalesce(F.length("text"), F.lit(0)) > long
+    # what isn't deterministic keeps the condition on lengths from being moved below the making of a text, which would be made anew for it
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    is_long = F.coalesce(F.length("text"), F.lit(0)) + F.least("row", F.lit(0)) > long
     schema = f"doc_id long, runs {RUNS}, collapsed_text string"
-    short = docs.filter(~is_long).mapInArrow(_whole(min_exp, min_words), schema)
-    marked = docs.filter(is_long).withColumn("digest", F.sha2("text", 256))
+    short = docs.filter(~is_long).select("doc_id", "text").mapInArrow(_whole(min_exp, min_words), schema)
+    marked = docs.filter(is_long).select("doc_id", "text", F.sha2("text", 256).alias("digest"))
     texts = marked.select("digest", "text").dropDuplicates(["digest"]).withColumn("n", F.regexp_count("text", F.lit(WORD)).cast("long"))
     step = F.greatest(F.lit(1), F.floor(F.lit(cost) / F.col("n"))).cast("long")
     lags = F.floor(F.col("n") / min_exp).cast("long")
@@ -213,7 +217,9 @@ def with_repeats(docs: DataFrame) -> DataFrame:
     words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     known = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), words.alias("words")).withColumn("n", F.size("words").cast("long"))
     known = known.withColumn("a", F.expr("if(n > 0, g % n, null)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
-    again = F.expr("array_join(transform(words, (w, i) -> if(i >= a, words[cast(a + (i - a) % p as int)], w)), ' ')")
+    # no lambda over the words, as the optimizer may cut them out anew for each of them
+    part = "flatten(array_repeat(slice(words, cast(a + 1 as int), cast(p as int)), cast((n - a + p - 1) div p as int)))"
+    again = F.expr(f"array_join(concat(slice(words, 1, cast(a as int)), slice({part}, 1, cast(n - a as int))), ' ')")
     return known.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
 
 
