@@ -10,7 +10,7 @@ from __future__ import annotations
 from docsift.functions import lexicons as lx
 from docsift.functions import text as tx
 from docsift.functions import wordlists as wl
-from docsift.functions.dialect import Spark, clamp, flag
+from docsift.functions.dialect import DuckDB, Spark, clamp, flag
 
 YEAR = 2026
 RANGE = r"(?i)(?:\d{1,2}/)?(?:20\d{2}|19\d{2})\s*[–\-—]\s*(?:\d{1,2}/)?(?:20\d{2}|19\d{2}|present|current|now)"
@@ -55,7 +55,7 @@ def how_many(d: Spark, a: str, cond: str) -> str:
 
 
 def g01(d: Spark) -> list[dict[str, str]]:
-    digits = "length(regexp_replace(coalesce(phone, ''), '[^0-9]', " + ("'', 'g'" if type(d) is not Spark else "''") + "))"
+    digits = "length(regexp_replace(coalesce(phone, ''), '[^0-9]', " + ("'', 'g'" if isinstance(d, DuckDB) else "''") + "))"
     return [
         {"has_name": flag("length(name) > 1"), "has_email": flag("contains(email, '@')"), "has_phone": flag(f"{digits} >= 10"), "has_location": flag("location <> ''")},
         {"contact_completeness_score": "round((has_name + has_email + has_phone + has_location) / 4.0D, 2)"},
@@ -199,6 +199,8 @@ def g11(d: Spark) -> list[dict[str, str]]:
 
 GROUPS = {"g01_contact": g01, "g02_sections": g02, "g03_skills": g03, "g04_education": g04, "g05_experience": g05, "g06_projects": g06, "g07_extras": g07, "g08_online": g08, "g09_format": g09, "g10_penalties": g10, "g11_composite": g11}
 HELPERS = ("grade", "points")
+#: Texts in which many keywords are looked for.
+SCANNED = ("t", "raw_head", "edu_or_t", "exp_t", "proj_t")
 
 
 def names(group: str) -> list[str]:

@@ -7,7 +7,7 @@ one value serves several others. Texts are judged as given; a null input gives n
 from __future__ import annotations
 
 from docsift.functions import wordlists as wl
-from docsift.functions.dialect import Spark, flag
+from docsift.functions.dialect import DuckDB, Spark, flag
 from docsift.functions.skills import TECH_TERMS
 
 # Fixed values
@@ -114,7 +114,7 @@ def email_typo(d: Spark, t: str) -> str:
     """What is wrong with the domain, else null."""
     domain = f"lower({d.part(t, '@([^@]*)$', 1)})"
     cases = " ".join(f"WHEN '{k}' THEN 'Email domain typo: ''{k}'' instead of ''{v}'''" for k, v in DOMAIN_TYPOS.items())
-    return f"CASE {domain} {cases} END".replace("''", "\\'") if type(d) is Spark else f"CASE {domain} {cases} END"
+    return f"CASE {domain} {cases} END".replace("''", "\\'") if not isinstance(d, DuckDB) else f"CASE {domain} {cases} END"
 
 
 def phone_typo(d: Spark, t: str) -> str:

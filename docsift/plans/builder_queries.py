@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.functions import cleaning as cl
 from docsift.functions import entities as en
 from docsift.functions import features, rules
 from docsift.functions import headers as hd
@@ -21,7 +20,10 @@ from docsift.functions.dialect import WHITE, Spark, flag
 from docsift.functions.rules import reasons
 from docsift.operators import layout as ly
 from docsift.operators import projects as pj
-from docsift.plans.rough import QUERIES, python_call, register, texts, with_layers
+from docsift.operators.keyword_hits import with_layers_by_hits
+from docsift.operators.section_windows import with_blocks
+from docsift.plans.rough import AS_IT_IS, QUERIES, First, python_call, register, texts, with_layers
+from docsift.plans.sectioned import CLEAN_SECTIONS, SECTIONS
 
 # Fixed values
 FLAGS = {"skills": "has_skills_section", "education": "has_education_section", "experience": "has_experience_section", "projects": "has_projects_section", "achievements": "has_achievements_section", "languages": "has_languages_section", "interests": "has_interests_section", "summary": "has_objective_section"}
@@ -31,12 +33,12 @@ DATE_RANGE = r"(?:\d{1,2}/)?(?:19|20)\d{2}\s*[-–—]\s*(?:\d{1,2}/)?(?:19|20)\
 ALLOWED = ("skills", "education", "projects", "experience", "achievements", "languages", "interests", "summary")
 
 
-def register_python(name: str, columns: list[str], layers: Callable[[Spark, Callable, Callable], list[dict[str, str]]], base: str = "both", of: str = "") -> None:
+def register_python(name: str, columns: list[str], layers: Callable[[Spark, Callable, Callable], list[dict[str, str]]], base: str = "both", first: First = AS_IT_IS) -> None:
     """A query with Arrow UDFs; layers are given how to match tokens and how to cut lines."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         match, cut = sk.register_close_skills(spark), pj.register_cut_projects(spark)
-        out = with_layers(texts(spark, sf_dir, base), layers(Spark(), python_call(match), python_call(cut)))
+        out = with_layers(first.frame(texts(spark, sf_dir, base)), layers(Spark(), python_call(match), python_call(cut)))
         return out.select("doc_id", *columns)
 
     run.__name__ = name
@@ -66,12 +68,8 @@ def identity(d: Spark) -> list[dict[str, str]]:
     ]
 
 
-def section_layers(d: Spark, text: str = "text") -> list[dict[str, str]]:
-    return [*en.lines_layer(d, text), *hd.sections(d), *hd.canonical(d)]
-
-
-def project_layers(d: Spark, cut, text: str = "text") -> list[dict[str, str]]:
-    return [*section_layers(d, text), *pj.project_lines(d), *cut_parts(d, cut)]
+def project_layers(d: Spark, cut) -> list[dict[str, str]]:
+    return [*hd.canonical(d), *pj.project_lines(d), *cut_parts(d, cut)]
 
 
 def skill_layers(d: Spark, match) -> list[dict[str, str]]:
@@ -79,12 +77,11 @@ def skill_layers(d: Spark, match) -> list[dict[str, str]]:
 
 
 def record(d: Spark, match, cut) -> list[dict[str, str]]:
-    """Layers of a whole record from ``text``: cleaned text ``raw``, sections, identity, projects, skills, education,
+    """Layers of a whole record from the cleaned text ``raw`` and its sections: identity, projects, skills, education,
     experience and the lines of the other sections."""
     lists = {"education_lines": "education", "achievement_lines": "achievements", "interest_lines": "interests", "language_lines": "languages", "experience_lines": "experience"}
     return [
-        *cl.layers(d, cl.CHAIN),
-        *section_layers(d, "clean"),
+        *hd.canonical(d),
         *en.email_first(d), *en.phone_first(d), *en.name_first(d), *en.place_first(d), *identity(d),
         *pj.project_lines(d), *cut_parts(d, cut), *skill_layers(d, match),
         {k: hd.lines_of(d, s) for k, s in lists.items()},
@@ -137,58 +134,60 @@ def _shown(d: Spark, *arrays: str) -> dict[str, str]:
 _SHORT = "doc_lines"
 register("nb1_exact_skills", ["found_", "n_typos"], lambda d: [*en.lines_layer(d), *sk.extracted(d, "raw", "found", sk.exact_skills(d)), {"found_": d.join("found", "|"), "n_typos": "found_typos"}])
 register_python("nb1_skills", ["found_", "n_typos"], lambda d, match, cut: [*en.lines_layer(d), *sk.extracted(d, "raw", "found", match), {"found_": d.join("found", "|"), "n_typos": "found_typos"}])
-register("nb2_exact_build_skills", ["skills_"], lambda d: [*project_layers(d, None), *skill_layers(d, sk.exact_skills(d)), _shown(d, "skills")])
-register_python("nb2_build_skills", ["skills_"], lambda d, match, cut: [*project_layers(d, cut), *skill_layers(d, match), _shown(d, "skills")])
+register("nb2_exact_build_skills", ["skills_"], lambda d: [*project_layers(d, None), *skill_layers(d, sk.exact_skills(d)), _shown(d, "skills")], first=SECTIONS)
+register_python("nb2_build_skills", ["skills_"], lambda d, match, cut: [*project_layers(d, cut), *skill_layers(d, match), _shown(d, "skills")], first=SECTIONS)
 register("nb3_project_skills", ["words_"], lambda d: [*en.lines_layer(d), {"words": sk.enriching(d, "doc_lines")}, _shown(d, "words")])
 
 
 def _merged(d, match):
     given = d.join_lines(d.concat(d.array("'SQL, excel'", "'Pyhton'"), hd.lines_of(d, "skills")))
     return [
-        *section_layers(d), *en.email_first(d), *en.phone_first(d), {"given": given}, *sk.extracted(d, "given", "found", match),
+        *hd.canonical(d), *en.email_first(d), *en.phone_first(d), {"given": given}, *sk.extracted(d, "given", "found", match),
         {"merged_": d.join(d.sorted("found"), "|"), "n_typos": f"found_typos + CASE WHEN {rc.email_typo(d, 'email')} IS NULL THEN 0 ELSE 1 END + CASE WHEN {rc.phone_typo(d, 'phone')} IS NULL THEN 0 ELSE 1 END"},
     ]
 
 
-register("nb4_exact_merged_skills", ["merged_", "n_typos"], lambda d: _merged(d, sk.exact_skills(d)))
-register_python("nb4_merged_skills", ["merged_", "n_typos"], lambda d, match, cut: _merged(d, match))
-register("nb6_project_lines", ["project_lines_"], lambda d: [*section_layers(d), *pj.project_lines(d), _shown(d, "project_lines")])
+register("nb4_exact_merged_skills", ["merged_", "n_typos"], lambda d: _merged(d, sk.exact_skills(d)), first=SECTIONS)
+register_python("nb4_merged_skills", ["merged_", "n_typos"], lambda d, match, cut: _merged(d, match), first=SECTIONS)
+register("nb6_project_lines", ["project_lines_"], lambda d: [*hd.canonical(d), *pj.project_lines(d), _shown(d, "project_lines")], first=SECTIONS)
 _CUT = {"projects": "array_join(transform(cut, p -> p.name || '~' || p.duration || '~' || p.description), '|')"}
-register_python("nb7_projects", ["projects"], lambda d, match, cut: [*project_layers(d, cut), _CUT])
+register_python("nb7_projects", ["projects"], lambda d, match, cut: [*project_layers(d, cut), _CUT], first=SECTIONS)
 register(
     "nb8_project_texts", ["names_", "tales_"],
     lambda d: [*en.lines_layer(d), {"first_lines": d.take("doc_lines", 60)}, {"names": d.each("first_lines", "x", pj.clean_name(d, "x")), "tales": d.each("first_lines", "x", pj.clean_description(d, "x"))}, _shown(d, "names", "tales")],
 )
 _INTERN = flag("exists(cut, p -> contains(lower(p.name || ' ' || p.description), 'intern'))")
-register_python("nb9_project_counts", ["n_projects", "has_internship"], lambda d, match, cut: [*project_layers(d, cut), {"n_projects": "size(cut)", "has_internship": _INTERN}])
+register_python("nb9_project_counts", ["n_projects", "has_internship"], lambda d, match, cut: [*project_layers(d, cut), {"n_projects": "size(cut)", "has_internship": _INTERN}], first=SECTIONS)
 register(
     "nb11_education_getters", ["degree", "is_it", "cgpa"],
-    lambda d: [*section_layers(d), {"education_lines": hd.lines_of(d, "education")}, {"education_text": d.join("education_lines")}, *rc.education(d, "education_text"),
+    lambda d: [*hd.canonical(d), {"education_lines": hd.lines_of(d, "education")}, {"education_text": d.join("education_lines")}, *rc.education(d, "education_text"),
                {"degree": f"CASE WHEN {d.size('education_lines')} > 0 THEN degree_type ELSE 'unknown' END", "is_it": f"CASE WHEN {d.size('education_lines')} > 0 THEN is_it_candidate ELSE 0 END", "cgpa": f"CASE WHEN {d.size('education_lines')} > 0 THEN score ELSE 0.0D END"}],
+    first=SECTIONS,
 )
 _IDENTITY = ["identity_name", "identity_email", "identity_phone", "identity_location"]
-register("en8_identity", _IDENTITY, lambda d: [*section_layers(d), *en.email_first(d), *en.phone_first(d), *en.name_first(d), *en.place_first(d), *identity(d)])
+register("en8_identity", _IDENTITY, lambda d: [*hd.canonical(d), *en.email_first(d), *en.phone_first(d), *en.name_first(d), *en.place_first(d), *identity(d)], first=SECTIONS)
 _EXACT = lambda d: record(d, sk.exact_skills(d), None)
-register("nb15_section_flags", [*FLAGS.values(), "section_count", "section_completeness_score"], lambda d: [*_EXACT(d), *section_flags(d)])
+register("nb15_section_flags", [*FLAGS.values(), "section_count", "section_completeness_score"], lambda d: [*_EXACT(d), *section_flags(d)], first=CLEAN_SECTIONS)
 _SCREENED = ["refined_", "role", "skills_count", "programming_languages_count", "framework_count", "database_count", "projects_count", "screen_location", "reject_reasons", "screen_score", "decision"]
-register("nb16_qs14_exact_screening", _SCREENED, lambda d: [*_EXACT(d), *screening(d), _shown(d, "refined")])
-register_python("nb16_qs14_screening", _SCREENED, lambda d, match, cut: [*record(d, match, cut), *screening(d), _shown(d, "refined")])
+register("nb16_qs14_exact_screening", _SCREENED, lambda d: [*_EXACT(d), *screening(d), _shown(d, "refined")], first=CLEAN_SECTIONS)
+register_python("nb16_qs14_screening", _SCREENED, lambda d, match, cut: [*record(d, match, cut), *screening(d), _shown(d, "refined")], first=CLEAN_SECTIONS)
 
 
 def records(spark: SparkSession, frame: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Assembled records of (doc_id, text): identity, sections, lists, projects and all features of the catalogue.
     Columns ``keep`` go along."""
     match, cut = sk.register_close_skills(spark), pj.register_cut_projects(spark)
-    made = with_layers(frame, record(Spark(), python_call(match), python_call(cut)))
+    d = Spark()
+    # a stream has no windows over lines: there the same sections are made within the row
+    made = with_layers(frame, CLEAN_SECTIONS.layers(d)) if frame.isStreaming else CLEAN_SECTIONS.frame(frame)
+    made = with_layers(made, record(d, python_call(match), python_call(cut)))
     inputs = {
         "name": "identity_name", "email": "identity_email", "phone": "identity_phone", "location": "identity_location", "lines": "doc_lines", "sections": "canon_names", "section_lines": "aggregate(canon_lines, 0, (n, l) -> n + size(l))",
         "edu": "education_lines", "exp": "experience", "proj": "project_strings", "ach": "achievement_lines", "lang_lines": "language_lines", "skill_lines": "skills", "skills": "skills", "langs": "language_lines",
     }
     kept = [*keep, "degree_type","is_it_candidate", "score AS education_score", "summary_lines", "interest_lines", "cut AS projects"]
     made = made.selectExpr("doc_id", "raw", *[f"{v} AS {k}" for k, v in inputs.items()], *kept)
-    for layer in features.layers(Spark(), tuple(features.GROUPS)):
-        made = made.selectExpr("*", *[f"{v} AS {k}" for k, v in layer.items()])
-    return made
+    return with_layers_by_hits(made, features.layers, features.SCANNED)
 
 
 def nb14_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +205,7 @@ def _strategies(d: Spark) -> list[dict[str, str]]:
     """Three ways to sections as arrays of names and of lines: s1 by headers, s2 by blocks, s3 by routes of lines."""
     routes = ("languages", "education", "projects", "experience", "achievements", "skills", "summary", "interests")
     return [
-        *section_layers(d, "clean"), *hd.blocks(d)[1:],
+        {"lines": d.each("doc_lines", "x", d.strip("x"))},
         {"routed_lines": d.where("lines", "x", "x <> ''")},
         {"low_routed": d.each("routed_lines", "x", "lower(x)")},
         {"routed": d.each("low_routed", "x", rc.route(d, "x", lowered=True))},
@@ -218,7 +217,7 @@ def qs10_qs12_multi_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QS10, QS11, QS12: of three strategies the quality of each, and the best skills, projects and experience of any."""
     match, cut = sk.register_close_skills(spark), pj.register_cut_projects(spark)
     d = Spark()
-    base = with_layers(texts(spark, sf_dir, "rough"), [*cl.layers(d, cl.CHAIN), *_strategies(d)])
+    base = with_layers(with_blocks(CLEAN_SECTIONS.frame(texts(spark, sf_dir, "rough"))), _strategies(d))
     each = base.selectExpr(
         "doc_id", "raw", "doc_lines",
         "posexplode(array(struct(section_names AS n, section_lines AS l), struct(block_names AS n, block_lines AS l), struct(route_names AS n, s3_every AS l))) AS (strategy, found)",
@@ -262,7 +261,7 @@ def _exact_quality(d):
     return [*_EXACT(d), {"languages": "language_lines"}, *quality(d), _shown(d, "valid_projects", "valid_experience"), {"valid_skills_": d.join(d.sorted("valid_skills"), "|")}]
 
 
-register("qs10_qs11_exact_quality", ["parse_quality", "valid_skills_", "valid_projects_", "valid_experience_"], _exact_quality)
+register("qs10_qs11_exact_quality", ["parse_quality", "valid_skills_", "valid_projects_", "valid_experience_"], _exact_quality, first=CLEAN_SECTIONS)
 
 
 # Layouts: half of the texts are pages of two columns, made from the key alone.

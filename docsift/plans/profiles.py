@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from docsift.functions import features
 from docsift.functions import text as tx
-from docsift.functions.dialect import DuckDB, Spark
+from docsift.functions.dialect import DuckDB
+from docsift.operators.keyword_hits import with_layers_by_hits
 from docsift.operators.sections import ALIASES, MAX_LINE, MAX_RUN, header
 from docsift.plans.resumes import DUCKDB, resumes
 
@@ -54,9 +55,7 @@ def profiles(texts: DataFrame) -> DataFrame:
 
 def with_features(profile: DataFrame, groups=tuple(features.GROUPS)) -> DataFrame:
     """The profile with the features of the groups; penalties need groups 1 to 9, composites all."""
-    for layer in features.layers(Spark(), groups):
-        profile = profile.selectExpr("*", *[f"{v} AS {k}" for k, v in layer.items()])
-    return profile
+    return with_layers_by_hits(profile, lambda d: features.layers(d, groups), features.SCANNED)
 
 
 #: Texts that both engines profile: synthetic candidates under a name, some with a city, dates, verbs and languages.

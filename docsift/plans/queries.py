@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docsift.functions import lexicons as lx
 from docsift.functions import text as tx
+from docsift.functions.dialect import flag
+from docsift.operators.keyword_hits import with_layers_by_hits
 from docsift.plans import builder_queries, cleaning_queries, entity_queries, feature_queries, page_queries, quality_queries, record_queries, rough, section_queries, source_queries  # noqa: F401 - they register queries
 from docsift.operators.sections import ALIASES, section_lines
 from docsift.plans.resumes import DUCKDB, resumes, spread
@@ -30,6 +32,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the lower-case text of documents and candidates."""
+    return _docs(spark, sf_dir).union(resumes(spark, sf_dir).select(F.col("doc_id") + 1000000000, "text")).select("doc_id", F.lower("text").alias("t"))
+
+
 _count = lambda t, p: f"CAST(len(regexp_extract_all({t}, '{p}')) AS INTEGER)"
 _any = lambda t, words: "CASE WHEN " + " OR ".join(f"contains({t}, '{w}')" for w in words) + " THEN 1 ELSE 0 END"
 _sum = lambda t, words: "CAST(" + " + ".join(f"CASE WHEN contains({t}, '{w}') THEN 1 ELSE 0 END" for w in words) + " AS INTEGER)"
@@ -78,15 +85,14 @@ def g09_format_features(spark, sf_dir):
 
 @_query("WITH r AS (SELECT doc_id, lower(text) AS t FROM documents UNION ALL SELECT 1000000000 + doc_id, lower(text) FROM (" + DUCKDB + ")) SELECT doc_id, " + ", ".join(f"{_any('t', w)} AS has_{k}_skills" for k, w in lx.CATEGORIES.items()) + ", " + ", ".join(f"{_any('t', w)} AS has_{k}" for k, w in lx.DEGREES.items()) + " FROM r")
 def g03_g04_keyword_flags(spark, sf_dir):
-    both = _docs(spark, sf_dir).union(resumes(spark, sf_dir).select(F.col("doc_id") + 1000000000, "text")).select("doc_id", F.lower("text").alias("t"))
-    flags = [F.when(tx.match_any(F.col("t"), w), 1).otherwise(0).alias(n) for n, w in [*((f"has_{k}_skills", w) for k, w in lx.CATEGORIES.items()), *((f"has_{k}", w) for k, w in lx.DEGREES.items())]]
-    return both.select("doc_id", *flags)
+    named = {**{f"has_{k}_skills": w for k, w in lx.CATEGORIES.items()}, **{f"has_{k}": w for k, w in lx.DEGREES.items()}}
+    return with_layers_by_hits(_both(spark, sf_dir), lambda d: [{n: flag(d.any("t", w)) for n, w in named.items()}], ("t",)).select("doc_id", *named)
 
 
 @_query("WITH r AS (SELECT doc_id, lower(text) AS t FROM documents UNION ALL SELECT 1000000000 + doc_id, lower(text) FROM (" + DUCKDB + ")) SELECT doc_id, " + ", ".join(f"{_sum('t', w)} AS {k}_count" for k, w in lx.EXTRAS.items()) + " FROM r")
 def g07_keyword_counts(spark, sf_dir):
-    both = _docs(spark, sf_dir).union(resumes(spark, sf_dir).select(F.col("doc_id") + 1000000000, "text")).select("doc_id", F.lower("text").alias("t"))
-    return both.select("doc_id", *[tx.count_any(F.col("t"), w).alias(f"{k}_count") for k, w in lx.EXTRAS.items()])
+    named = {f"{k}_count": w for k, w in lx.EXTRAS.items()}
+    return with_layers_by_hits(_both(spark, sf_dir), lambda d: [{n: d.count("t", w) for n, w in named.items()}], ("t",)).select("doc_id", *named)
 
 
 _SECTIONS = f"""

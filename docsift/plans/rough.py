@@ -7,10 +7,12 @@ two, misspelt skills, addresses with blanks, ligatures. The same SQL makes it in
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from docsift.functions.dialect import DuckDB, Spark
+from docsift.operators.keyword_hits import with_layers_by_hits
 from docsift.plans.resumes import spread
 
 QUERIES: dict = {}
@@ -81,12 +83,25 @@ def duckdb_layers(base: str, layers: list[dict[str, str]], final: str) -> str:
     return f"{sql}\n{final.format(table=f't{len(layers)}')}"
 
 
-def register(name: str, columns: list[str], layers: Callable[[Spark], list[dict[str, str]]], base: str = "both") -> None:
-    """A query of doc_id and the columns that the layers make of (doc_id, text), and its DuckDB form."""
+@dataclass(frozen=True)
+class First:
+    """What comes before the layers of a query: steps over a frame of (doc_id, text) and the layers that do the same in SQL."""
+
+    frame: Callable[[DataFrame], DataFrame]
+    layers: Callable[[Spark], list[dict[str, str]]]
+
+
+AS_IT_IS = First(lambda frame: frame, lambda d: [])
+
+
+def register(name: str, columns: list[str], layers: Callable[[Spark], list[dict[str, str]]], base: str = "both", first: First = AS_IT_IS, scanned: tuple[str, ...] = ()) -> None:
+    """A query of doc_id and the columns that the layers make of (doc_id, text), and its DuckDB form. ``scanned``: texts
+    in which many keywords are looked for at once."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return with_layers(texts(spark, sf_dir, base), layers(Spark())).select("doc_id", *columns)
+        return with_layers_by_hits(first.frame(texts(spark, sf_dir, base)), layers, scanned).select("doc_id", *columns)
 
     run.__name__ = name
     QUERIES[name] = run
-    ORACLES[name] = duckdb_layers(base, layers(DuckDB()), f"SELECT doc_id, {', '.join(columns)} FROM {{table}}")
+    d = DuckDB()
+    ORACLES[name] = duckdb_layers(base, [*first.layers(d), *layers(d)], f"SELECT doc_id, {', '.join(columns)} FROM {{table}}")

@@ -6,6 +6,7 @@ from docsift.functions import classify as cf
 from docsift.functions import entities as en
 from docsift.functions import headers as hd
 from docsift.plans.rough import register
+from docsift.plans.sectioned import BLOCKS, MERGED, SECTIONS
 
 
 def _start(d):
@@ -17,29 +18,25 @@ def _plains(d):
     return [{"lines": d.each("doc_lines", "x", d.strip("x"))}, {"plains": d.each("lines", "x", hd.plain(d, "x"))}]
 
 
-def _sections(d):
-    return [*_start(d), *hd.sections(d)]
-
-
 register(
     "se1_se2_header_aliases", ["found"],
     lambda d: [*_start(d), *_plains(d), {"named": d.each("plains", "x", f"x || '=' || {hd.lookup(d, 'x', hd.ALIASES)}")}, {"found": d.join_lines(d.where("named", "x", "x IS NOT NULL"))}],
 )
 register("se3_headers", ["found"], lambda d: [*_start(d), *_plains(d), {"keys": d.each(d.count_to(d.size("lines")), "i", hd.header(d, d.at("lines", "i"), d.at("plains", "i")))}, {"found": d.join(d.where("keys", "x", "x IS NOT NULL"), "|")}])
-register("se4_merged_headers", ["merged_text"], lambda d: [*_start(d), *hd.merged_lines(d), {"merged_text": d.join_lines("merged")}])
-register("se5_sections", ["sections"], lambda d: [*_sections(d), {"sections": hd.shown(d, "section")}])
-register("se8_block_sections", ["blocks"], lambda d: [*_start(d), *hd.blocks(d), {"blocks": hd.shown(d, "block")}])
-register("se13_se14_canonical_sections", ["sections"], lambda d: [*_sections(d), *hd.canonical(d), {"sections": hd.shown(d, "canon")}])
+register("se4_merged_headers", ["merged_text"], lambda d: [{"merged_text": d.join_lines("merged")}], first=MERGED)
+register("se5_sections", ["sections"], lambda d: [{"sections": hd.shown(d, "section")}], first=SECTIONS)
+register("se8_block_sections", ["blocks"], lambda d: [{"blocks": hd.shown(d, "block")}], first=BLOCKS)
+register("se13_se14_canonical_sections", ["sections"], lambda d: [*hd.canonical(d), {"sections": hd.shown(d, "canon")}], first=SECTIONS)
 
 
 def _classes(rules):
     def layers(d):
-        names = d.concat(d.each("opened", "i", d.at("merged", "i")), d.take(d.where("lines", "x", "x <> ''"), 2), d.array("''", "'Skills & more'", "'Volunteering'", "'Co-Curricular:'"))
-        top = d.take(d.where("lines", "x", "x <> ''"), 8)
+        names = d.concat("run_titles", d.take("full_lines", 2), d.array("''", "'Skills & more'", "'Volunteering'", "'Co-Curricular:'"))
+        top = d.take("full_lines", 8)
         return [
-            *_sections(d),
+            {"full_lines": d.where(d.each("doc_lines", "x", d.strip("x")), "x", "x <> ''")},
             {"every_name": names},
-            {"every_content": d.each(d.count_to(d.size("every_name")), "k", f"CASE WHEN k <= {d.size('opened')} THEN {d.at('run_lines', 'k')} WHEN k % 3 = 0 THEN {d.empty()} ELSE {top} END")},
+            {"every_content": d.each(d.count_to(d.size("every_name")), "k", f"CASE WHEN k <= {d.size('run_names')} THEN {d.at('run_lines', 'k')} WHEN k % 3 = 0 THEN {d.empty()} ELSE {top} END")},
             {"item": d.explode(d.count_to(d.size("every_name")))},
             {"name": d.at("every_name", "item"), "content": d.at("every_content", "item")},
             *cf.classified(d, rules),
@@ -49,6 +46,6 @@ def _classes(rules):
     return layers
 
 
-register("se10_classifier_a", ["item", "name", "category", "confidence", "method", "content_length"], _classes(cf.A))
-register("se11_classifier_b", ["item", "name", "category", "confidence", "method"], _classes(cf.B))
-register("se12_confident_classes", ["item", "category", "is_confident"], _classes(cf.A))
+register("se10_classifier_a", ["item", "name", "category", "confidence", "method", "content_length"], _classes(cf.A), first=SECTIONS, scanned=("content_text",))
+register("se11_classifier_b", ["item", "name", "category", "confidence", "method"], _classes(cf.B), first=SECTIONS, scanned=("content_text",))
+register("se12_confident_classes", ["item", "category", "is_confident"], _classes(cf.A), first=SECTIONS, scanned=("content_text",))
