@@ -4,8 +4,9 @@ Tokens are runs of letters and digits, ASCII upper case lowered. Counts over all
 many hold a term) are taken once, so that a score doesn't depend on how the index is cut into shards. A shard's index
 holds, in flat arrays, each term's greatest impact on each block of items that it is in, and the postings of each block.
 
-A document is cut into passages of twice the longest item's tokens, each beginning half-way through the one before, so
-that every occurrence of an item lies whole in one passage. A passage is a query of its distinct terms. Terms whose
+For an item a document is cut into passages of twice as many tokens as the item has, up to the next power of two (STEP at
+least), each beginning half-way through the one before, so that every occurrence of an item lies whole in one passage and
+no other item, and no cut into shards, has a say in it. Items of one such length share an index. A passage is a query of its distinct terms. Terms whose
 greatest impacts together stay below the threshold can't lift an item alone: they are looked at only for passages that the
 others let through. Of such a passage the block maxima are added up first; only blocks whose sum reaches the threshold
 are opened, and only their postings are read.
@@ -18,7 +19,8 @@ last) and those of the answer (the last).
 Defined results: null texts have no passages; rows without doc_id are searched like any other; items without tokens match
 nothing; equal items each get their row; a document's row for an item is its best passage's; repeated documents each get
 their rows; an empty benchmark or no documents give an empty result; other columns are not read. The index is broadcast
-in shards of at most ``max_tokens`` tokens and ``max_bytes`` bytes, and documents are read once a shard.
+in shards of about ``max_tokens`` tokens, halved until they have at most ``max_bytes`` bytes, and documents are read once a
+shard; the rows are the same for any such bounds.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ SHINGLE = 5
 MIN_OVERLAP = 0.8
 MIN_PART = 0.5
 BLOCK = 16
+#: Tokens by which the passages of short items begin one after the other.
+STEP = 32
 K1, B = 1.2, 0.75
 MAX_TOKENS = 500_000
 #: Block maxima, and bounds of passages and blocks, that are added up at once.
@@ -96,10 +100,15 @@ class Index:
     part_size: np.ndarray  #: by item and part (whole, question, answer): the shingle size
     part_at: np.ndarray
     part_hash: np.ndarray
-    longest: int
+    step: int  #: tokens by which passages begin one after the other
 
     def nbytes(self) -> int:
-        return sum(getattr(self, f.name).nbytes for f in fields(self) if f.name != "longest")
+        return sum(getattr(self, f.name).nbytes for f in fields(self) if f.name != "step")
+
+
+def step_of(tokens: int) -> int:
+    """By which the passages of an item of so many tokens begin one after the other."""
+    return max(STEP, 1 << max(0, tokens - 1).bit_length())
 
 
 def _parts(text: bytes, hashes: np.ndarray, ends: np.ndarray) -> list:
@@ -120,7 +129,7 @@ def _parts(text: bytes, hashes: np.ndarray, ends: np.ndarray) -> list:
 
 
 def build(items: list[tuple[int, str]], counts: Counts | None = None, min_overlap: float = MIN_OVERLAP) -> Index | None:
-    """The index of some items; without ``counts`` these are all there are."""
+    """The index of some items, searched by the passages of the longest; without ``counts`` these are all there are."""
     kept = []
     for item, text in items:
         raw = (text or "").encode()
@@ -164,7 +173,7 @@ def build(items: list[tuple[int, str]], counts: Counts | None = None, min_overla
     hashes = [x for own in parts for _, x in own]
     return Index(
         np.array([k for k, *_ in kept]), vocabulary, term_at, max_block, maxima, most, essential, sums, np.searchsorted(block, np.arange(len(sums) + 1)), term, item, impact,
-        np.array([[size for size, _ in own] for own in parts]), np.concatenate([[0], np.cumsum([len(x) for x in hashes])]), np.concatenate(hashes), max(len(h) for _, _, h, _ in kept),
+        np.array([[size for size, _ in own] for own in parts]), np.concatenate([[0], np.cumsum([len(x) for x in hashes])]), np.concatenate(hashes), max(step_of(len(h)) for _, _, h, _ in kept),
     )
 
 
@@ -204,7 +213,7 @@ def search(index: Index, hashes: np.ndarray, first: np.ndarray) -> list[tuple[in
     pos, strong_term = where[strong], term[strong]
     if not len(pos):
         return []
-    step = index.longest
+    step = index.step
     row = np.searchsorted(first, pos, "right") - 1
     half = (pos - first[row]) // step
     # a half lies in the passage that it begins and in the one before
@@ -268,8 +277,23 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.record_batch([vec.longs(own), pa.array(length), pa.array(np.full(len(own), shard[k]))], ["term", "length", "shard"])
 
 
-def shards(benchmark: DataFrame, min_overlap: float = MIN_OVERLAP, max_tokens: int = MAX_TOKENS, max_bytes: int = MAX_BYTES) -> Iterator[Index]:
-    """Indexes of all items, built one after the other; a shard's items and counts are all that reaches the driver."""
+def _built(items: list[tuple[int, str]], counts: Counts, min_overlap: float, max_bytes: int) -> Iterator[list[Index]]:
+    """Indexes of items by their steps, that are together at most ``max_bytes``; a single item may have more."""
+    by_step: dict[int, list[tuple[int, str]]] = {}
+    for item, text in items:
+        raw = (text or "").encode()
+        by_step.setdefault(step_of(len(tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0])), []).append((item, text))
+    made = [x for own in by_step.values() if (x := build(own, counts, min_overlap))]
+    if sum(x.nbytes() for x in made) <= max_bytes or len(items) == 1:
+        yield made
+    else:
+        for part in (items[: len(items) // 2], items[len(items) // 2 :]):
+            yield from _built(part, counts, min_overlap, max_bytes)
+
+
+def shards(benchmark: DataFrame, min_overlap: float = MIN_OVERLAP, max_tokens: int = MAX_TOKENS, max_bytes: int = MAX_BYTES) -> Iterator[list[Index]]:
+    """Indexes of all items, a list for each shard, built one after the other; a shard's items and counts are all that
+    reaches the driver."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     words = items.agg(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
     n = -(-words // max_tokens) or 1
@@ -285,35 +309,31 @@ def shards(benchmark: DataFrame, min_overlap: float = MIN_OVERLAP, max_tokens: i
         order = np.argsort(held)
         counts = Counts(whole["n"], whole["total"] / whole["n"], held[order], got["df"].to_numpy()[order])
         rows = items.filter(F.col("shard") == k).select("item_id", "text").orderBy("item_id", "text").collect()
-        index = build([(r.item_id, r.text) for r in rows], counts, min_overlap)
-        if index and index.nbytes() > max_bytes:
-            raise ValueError(f"an index of {index.nbytes()} bytes is not broadcast; lower max_tokens")
-        if index:
-            yield index
+        if rows:
+            yield from filter(None, _built([(r.item_id, r.text) for r in rows], counts, min_overlap, max_bytes))
 
 
 _FOUND = {"doc_id": pa.int64(), "text_key": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "overlap": pa.float64(), "question_overlap": pa.float64(), "answer_overlap": pa.float64()}
 _SCHEMA = "doc_id long, text_key long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP, min_part: float = MIN_PART, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP, min_part: float = MIN_PART, max_tokens: int = MAX_TOKENS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, text_key, item_id, score, overlap, question_overlap, answer_overlap of every verified pair."""
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     found = None
-    for index in shards(benchmark, min_overlap, max_tokens):
-        sent = spark.sparkContext.broadcast(index)
+    for shard in shards(benchmark, min_overlap, max_tokens, max_bytes):
+        sent = spark.sparkContext.broadcast(shard)
 
         @vec.lean
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
             for batch in batches:
                 for rows, buf, off in vec.pieces(batch.column("text")):
                     hashes, _, first = tokens(buf, off)
-                    got = [x for x in search(index, hashes, first) if x[3] >= min_overlap and min(x[4:]) >= min_part]
+                    got = [(r, index.ids[i], *x) for index in sent.value for r, i, *x in search(index, hashes, first) if x[1] >= min_overlap and min(x[2:]) >= min_part]
                     if got:
                         docs, keys = (batch.column(c)[rows].to_pylist() for c in ("doc_id", "text_key"))
-                        cols = zip(*[(docs[r], keys[r], index.ids[i], *x) for r, i, *x in got], strict=True)
+                        cols = zip(*[(docs[r], keys[r], *x) for r, *x in got], strict=True)
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, _FOUND.values(), strict=True)], list(_FOUND))
 
         one = keyed.mapInArrow(run, _SCHEMA)

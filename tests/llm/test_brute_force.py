@@ -38,14 +38,14 @@ def _brute(docs, items, min_overlap=0.8, min_part=0.5):
     known = [(i, *_item_parts(t)) for i, t in items if _words(t)]
     df = Counter(w for _, whole, *_ in known for w in set(whole))
     mean = sum(len(whole) for _, whole, *_ in known) / len(known)
-    step = max(len(whole) for _, whole, *_ in known)
     idf = {w: math.log(1 + (len(known) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
     out = {}
     for d, text in docs:
         words = _words(text)
-        for a in range(0, max(1, len(words)), step):
-            passage = words[a : a + 2 * step]
-            for i, *parts in known:
+        for i, *parts in known:
+            step = next(2**k for k in range(5, 99) if len(parts[0]) <= 2**k)  # the item's own
+            for a in range(0, max(1, len(words)), step):
+                passage = words[a : a + 2 * step]
                 tf = Counter(parts[0])
                 impact = {w: idf[w] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(parts[0]) / mean)) for w, n in tf.items()}
                 sizes = [min(5, len(p)) for p in parts]
@@ -85,16 +85,24 @@ def test_leaks_by_brute_force(spark, exam):
     want = _brute(docs, items)
     assert len(want) > 15
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for max_tokens in (500_000, 300):
-        got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(*frames, max_tokens=max_tokens).collect()}
-        # shards have longest items of their own, and so other passages; pairs found and scores of whole items don't differ
-        if max_tokens == 500_000:
-            assert {k: (v.overlap, v.question_overlap, v.answer_overlap) for k, v in got.items()} == {k: (x[0], *x[2:]) for k, x in want.items()}
-            assert all(abs(got[k].score - x[1]) < 1e-4 for k, x in want.items())
-            whole = {k: v.score for k, v in got.items() if v.overlap == 1}
-        assert {k for k, v in got.items() if v.overlap == 1} == set(whole)
-    # a passage that has all terms of an item has its whole score, whatever the shard
-    assert all(min(got[k].score, whole[k]) >= 1 for k in whole)
+    bounds = {"one shard": {}, "many": {"max_tokens": 300}, "of an item or two": {"max_tokens": 40}, "halved": {"max_bytes": 20_000}}
+    for name, bound in bounds.items():
+        got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(*frames, **bound).collect()}
+        assert {k: (v.overlap, v.question_overlap, v.answer_overlap) for k, v in got.items()} == {k: (x[0], *x[2:]) for k, x in want.items()}, name
+        assert all(abs(got[k].score - x[1]) < 1e-4 for k, x in want.items())
+
+
+def test_a_long_item_changes_no_other_pair(spark, exam):
+    docs, items = exam
+    halves = items[3][1].split()
+    apart = " ".join([*halves[: len(halves) // 2], *["filler"] * 60, *halves[len(halves) // 2 :]])
+    docs = spark.createDataFrame([*docs, (99, apart)], "doc_id long, text string")
+    long = (70, " ".join(f"long{k}" for k in range(400)) + "? yes.")
+    found = []
+    for more in ([], [long]):
+        rows = decontaminate.leaks(docs, spark.createDataFrame([*items, *more], "item_id long, text string")).collect()
+        found.append(sorted((r.doc_id, r.item_id, r.overlap, r.question_overlap, r.answer_overlap) for r in rows))
+    assert found[0] == found[1] and len(found[0]) > 15
 
 
 def test_scores_do_not_depend_on_shards(spark, exam):
@@ -103,7 +111,7 @@ def test_scores_do_not_depend_on_shards(spark, exam):
     impacts = []
     for max_tokens in (500_000, 100):
         own = {}
-        for index in decontaminate.shards(frame, max_tokens=max_tokens):
+        for index in [x for shard in decontaminate.shards(frame, max_tokens=max_tokens) for x in shard]:
             for t, i, x in zip(index.posting_term, index.posting_item, index.impact, strict=True):
                 own[int(index.ids[i]), int(index.vocabulary[t])] = round(float(x), 9)
         impacts.append(own)
