@@ -209,8 +209,11 @@ def _cut_words(window: int, whole: list[str]):
                 again, of = (-1 - hits[own]) + first[row[own]], row[own]
                 key = vec.mix(roll.spans(again, again + window))
                 order = np.lexsort((again, key, of))
-                later = np.r_[False, (key[order][1:] == key[order][:-1]) & (of[order][1:] == of[order][:-1])] if len(order) else np.zeros(0, bool)
-                gone = vec.covered(np.concatenate([hits[~own] + first[row[~own]], again[order][later]]), window, len(starts))
+                again, key, of = again[order], key[order], of[order]
+                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])]) if len(order) else order
+                # equal rows of one doc_id each bring the first place along
+                later = again != np.repeat(again[new], np.diff(np.append(new, len(order))))
+                gone = vec.covered(np.concatenate([hits[~own] + first[row[~own]], again[later]]), window, len(starts))
                 until = np.append(starts[1:], len(buf))
                 last = first[1:][first[1:] > first[:-1]] - 1
                 until[last] = off[1:][first[1:] > first[:-1]]
