@@ -33,6 +33,7 @@ BREAKS = r"[,\n|;&/•●▪◦►▸■□◆◇\-*]"
 ENRICHING = ("deep learning", "computer vision", "machine learning")
 OTHER_NAMES = ("technical skills", "core competencies", "technical expertise", "skills & abilities", "competencies")
 CUTOFF = 0.88
+LEAST_LENGTH = 4
 SCREEN_ALIASES = {"js": "javascript", "node js": "nodejs", "mongo db": "mongodb"}
 SCREEN_HINTS = ("python", "java", "javascript", "nodejs", "mongodb", "mysql", "sql", "html", "css", "react", "angular", "express", "pandas", "matplotlib", "firebase", "php", "deep learning", "computer vision", "scnn")
 
@@ -54,11 +55,11 @@ def close_skill(token: str, cutoff: float = CUTOFF) -> str | None:
 
 def register_close_skills(spark, cutoff: float = CUTOFF) -> str:
     """Registers the UDF of the session and gives its name: an array of tokens to an array of skills or nulls."""
-    known =frozenset(WHITELIST)
+    known = frozenset(WHITELIST)
 
     @pandas_udf("array<string>")
     def close_skills(tokens: pd.Series) -> pd.Series:
-        one = lambda t: t if t in known else close_skill(t, cutoff) if len(t) >= 4 else None
+        one = lambda t: t if t in known else close_skill(t, cutoff) if len(t) >= LEAST_LENGTH else None
         return tokens.map(lambda ts: None if ts is None else [one(t) for t in ts])
 
     spark.udf.register("docsift_close_skills", close_skills.asNondeterministic())  # never moved into a lambda
