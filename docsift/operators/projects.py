@@ -15,6 +15,7 @@ from pyspark.sql.functions import pandas_udf
 
 from docsift.functions.dialect import WHITE, Spark
 from docsift.functions.entities import COMMON_HEADERS
+from docsift.operators.deadline import Overdue, limited
 
 # Fixed values
 BULLET = "-•●▪◦►▸■□◆◇*"
@@ -286,12 +287,19 @@ def cut_projects(lines: list[str]) -> Iterator[dict]:
             yield found
 
 
-def register_cut_projects(spark) -> str:
-    """Registers the UDF of the session and gives its name: an array of lines to an array of projects."""
+def register_cut_projects(spark, deadline: float = 30.0) -> str:
+    """Registers the UDF of the session and gives its name: an array of lines to an array of projects, null for a document
+    that takes longer than the deadline in seconds."""
+
+    def within(lines) -> list[dict] | None:
+        try:
+            return limited(deadline, lambda: list(cut_projects(list(lines))))
+        except Overdue:
+            return None
 
     @pandas_udf(SCHEMA)
     def projects(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda ls: [] if ls is None else list(cut_projects(list(ls))))
+        return lines.map(lambda ls: [] if ls is None else within(ls))
 
     spark.udf.register("docsift_cut_projects", projects.asNondeterministic())  # never moved into a lambda
     return "docsift_cut_projects"

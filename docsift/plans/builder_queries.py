@@ -185,10 +185,11 @@ register("nb16_qs14_exact_screening", _SCREENED, lambda d: [*_EXACT(d), *screeni
 register_python("nb16_qs14_screening", _SCREENED, lambda d, match, cut: [*record(d, match, cut), *screening(d), _shown(d, "refined")], first=CLEAN_SECTIONS)
 
 
-def records(spark: SparkSession, frame: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def records(spark: SparkSession, frame: DataFrame, keep: tuple[str, ...] = (), deadline: float = 30.0) -> DataFrame:
     """Assembled records of (doc_id, text): identity, sections, lists, projects and all features of the catalogue.
-    Columns ``keep`` go along."""
-    match, cut = sk.register_close_skills(spark), pj.register_cut_projects(spark)
+    Columns ``keep`` go along; doc_id tells rows apart. ``status`` is ok, the row's own ``error`` if it has such a column, or
+    that its projects took longer than the deadline in seconds; a row that isn't ok has what could be made of it."""
+    match, cut = sk.register_close_skills(spark), pj.register_cut_projects(spark, deadline)
     d = Spark()
     # a stream has no windows over lines: there the same sections are made within the row
     made = with_layers(frame, CLEAN_SECTIONS.layers(d)) if frame.isStreaming else CLEAN_SECTIONS.frame(frame)
@@ -197,7 +198,9 @@ def records(spark: SparkSession, frame: DataFrame, keep: tuple[str, ...] = ()) -
         "name": "identity_name", "email": "identity_email", "phone": "identity_phone", "location": "identity_location", "lines": "doc_lines", "sections": "canon_names", "section_lines": "aggregate(canon_lines, 0, (n, l) -> n + size(l))",
         "edu": "education_lines", "exp": "experience", "proj": "project_strings", "ach": "achievement_lines", "lang_lines": "language_lines", "skill_lines": "skills", "skills": "skills", "langs": "language_lines",
     }
-    kept = [*keep, "degree_type","is_it_candidate", "score AS education_score", "summary_lines", "interest_lines", "cut AS projects"]
+    late = f"CASE WHEN cut IS NULL THEN 'projects: over {deadline:g} s' ELSE 'ok' END"
+    status = f"coalesce(error, {late})" if "error" in frame.columns else late
+    kept = [*keep, f"{status} AS status", "degree_type","is_it_candidate", "score AS education_score", "summary_lines", "interest_lines", "cut AS projects"]
     made = made.selectExpr("doc_id", "raw", *[f"{v} AS {k}" for k, v in inputs.items()], *kept)
     return with_layers_by_hits(made, features.layers, features.SCANNED)
 

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import io
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
+
+from docsift.operators.deadline import limited
 
 MAX_BYTES = 10 * 1024 * 1024
 SUFFIXES = ("pdf", "docx")
@@ -17,13 +22,24 @@ MIN_LINES, MAX_LINES = 3, 5000
 MIN_BLOCK_WORDS = 20
 #: An archive of at most MAX_BYTES may unpack to much more; beyond this it is refused unread.
 MAX_UNPACKED = 200 * 1024 * 1024
+#: Seconds that a worker spends on one document.
+DEADLINE = 30.0
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+def listed(reader: Callable[[], DataFrameReader | DataStreamReader], folder: str) -> DataFrame:
+    """path, modificationTime, length, content, suffix, status (ok, too_large, unsupported) of files.
+
+    Suffix and size are judged from the listing. Content is asked for only of files that are accepted: the source applies
+    the bound on length before it opens a file, and never opens one whose content isn't selected."""
+    accepted = reader().option("pathGlobFilter", f"*.{{{','.join(''.join(f'[{c}{c.upper()}]' for c in s) for s in SUFFIXES)}}}").load(folder).filter(F.col("length") <= MAX_BYTES)
+    others = with_status(reader().load(folder).select("path", "modificationTime", "length")).filter("status <> 'ok'")
+    return with_status(accepted).unionByName(others.withColumn("content", F.lit(None).cast("binary")))
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, modificationTime, length, content, suffix, status (ok, too_large, unsupported) of every file below; Spark lists no empty files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return with_status(files)
+    """Every file below the folder, as ``listed`` gives them; Spark lists no empty files."""
+    return listed(lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true"), folder)
 
 
 def with_status(files: DataFrame) -> DataFrame:
@@ -48,8 +64,9 @@ def docx_text(content: bytes) -> str:
     return "\n".join(lines)
 
 
-def extract_text(files: DataFrame, pdf_text: Callable[[bytes], str] | None = None) -> DataFrame:
-    """path, text, error of listed files. A file that cannot be read has a null text and an error; the job goes on.
+def extract_text(files: DataFrame, pdf_text: Callable[[bytes], str] | None = None, deadline: float = DEADLINE) -> DataFrame:
+    """path, text, error of listed files. A file that cannot be read, or not within the deadline in seconds, has a null
+    text and an error; the job goes on.
 
     No PDF library is bundled: pass a function from bytes to text, else PDF files get the error ``no pdf reader``.
     """
@@ -63,7 +80,7 @@ def extract_text(files: DataFrame, pdf_text: Callable[[bytes], str] | None = Non
                     error = "no pdf reader"
                 if error is None:
                     try:
-                        text = (pdf_text if suffix == "pdf" else docx_text)(bytes(content))
+                        text = limited(deadline, pdf_text if suffix == "pdf" else docx_text, bytes(content))
                     except Exception as e:  # noqa: BLE001 - any broken file becomes a row with its error
                         error = f"{type(e).__name__}: {e}"[:200]
                 rows.append((path, text, error))
@@ -125,5 +142,30 @@ def write_csv(rows: DataFrame, folder: str) -> None:
 
 
 def stale(files: DataFrame, hours: int = 168) -> DataFrame:
-    """Paths of files older than the retention; deleting them is left to the caller."""
+    """Paths of files older than the retention."""
     return files.filter(F.col("modificationTime") < F.current_timestamp() - F.expr(f"INTERVAL {hours} HOURS")).select("path")
+
+
+def purge(spark: SparkSession, folder: str, hours: int = 168, delete: bool = False) -> dict[str, int]:
+    """Deletes the document files of a folder that are older than the retention; without ``delete`` it only counts them.
+
+    The listing is a Spark job, whose rows come to the driver a partition at a time. Each file's age is read again from its
+    file system right before it goes, so that one written meanwhile stays. Gives how many are stale, deleted, changed since
+    and failed."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    found = with_status(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime", "length")).filter(F.col("suffix").isin(*SUFFIXES))
+    out = {"stale": 0, "deleted": 0, "changed": 0, "failed": 0}
+    for row in stale(found, hours).toLocalIterator():
+        out["stale"] += 1
+        if not delete:
+            continue
+        path = hadoop(row.path)
+        fs = path.getFileSystem(conf)
+        try:
+            if time.time() - fs.getFileStatus(path).getModificationTime() / 1000 < hours * 3600:
+                out["changed"] += 1
+            else:
+                out["deleted" if fs.delete(path, False) else "failed"] += 1
+        except Py4JJavaError:  # gone, or not allowed: the others go on
+            out["failed"] += 1
+    return out
