@@ -180,6 +180,8 @@ class Spark:
     def ascii(self, t: str) -> str:
         """Compatibility decomposition without all that isn't ASCII."""
         one = {c: a for c, a in decompositions().items() if len(a) == 1 and a not in "'\\"}
+        for c in (c for c, a in decompositions().items() if a in ("'", "\\")):  # these can't stand in a table as they are
+            t = f"replace({t}, '{c}', '\\{decompositions()[c]}')"
         more = {c: a for c, a in decompositions().items() if len(a) > 1}
         folded = f"translate({t}, '{''.join(one)}', '{''.join(one.values())}')"
         table = f"map_from_arrays(split('{chr(1).join(more)}', chr(1)), split('{chr(1).join(more.values())}', chr(1)))"
@@ -306,7 +308,7 @@ class DuckDB(Spark):
         return f"list_reduce({a}, lambda {s}, {x}: {step}, {start})"
 
     def ascii(self, t: str) -> str:
-        for c, a in (("\u00a0", " "), ("\u2026", "..."), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\u00bd", "12"), ("\u2122", "TM"), ("\u00aa", "a"), ("\u00ba", "o"), ("\u00b2", "2")):
+        for c, a in (("\uff07", "''"), ("\uff3c", "\\"), ("\ufe68", "\\"), ("\u00a0", " "), ("\u2026", "..."), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\u00bd", "12"), ("\u2122", "TM"), ("\u00aa", "a"), ("\u00ba", "o"), ("\u00b2", "2")):
             t = f"replace({t}, '{c}', '{a}')"
         return f"regexp_replace(strip_accents({t}), '[^\\x00-\\x7f]+', '', 'g')"
 

@@ -1,7 +1,8 @@
 """Scores, hard rules, screening and labels over the features: layers of SQL expressions for either engine.
 
 ``grade_score`` is the grade on a scale of 100, ``degree_code`` 2 master, 1 bachelor, 0 diploma, -1 none. Reasons are
-joined by ``;`` in the order of the rules, empty if there are none. ``typo_quality`` is 100 without a dictionary.
+joined by ``;`` in the order of the rules, empty if there are none. ``typos`` are misspelt skills and contacts,
+``typo_quality`` the spelling score of the text, 100 without a dictionary.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def steps(x: str, below: tuple, other: str) -> str:
 
 
 RECORD = {
-    "grade_score": "cgpa_value", "years_of_experience": "experience_years_estimate", "has_internship": "experience_has_internship", "is_it_candidate": "is_cs_it_candidate", "typo_count": "0",
+    "grade_score": "cgpa_value", "years_of_experience": "experience_years_estimate", "has_internship": "experience_has_internship", "is_it_candidate": "is_cs_it_candidate", "typo_count": "typos",
     "degree_code": "CASE WHEN has_master_degree = 1 THEN 2 WHEN has_bachelor_degree = 1 THEN 1 WHEN has_diploma = 1 THEN 0 ELSE -1 END", "has_valid_contact": flag("has_email = 1 AND has_phone = 1"),
 }
 
@@ -55,7 +56,7 @@ def ats(d: Spark) -> list[dict[str, str]]:
     )
     parts = {
         "contact": "CASE WHEN email IS NOT NULL AND phone IS NOT NULL THEN 100.0D ELSE 50.0D END", "structure": "sections_there * 25.0D", "content": f"CASE WHEN has_experience = 1 THEN least({_CONTENT} + 10, 100.0D) ELSE {_CONTENT} END",
-        "length": "CASE WHEN n_words < 120 THEN 20.0D WHEN n_words < 200 THEN 40.0D WHEN n_words < 350 THEN 75.0D WHEN n_words < 900 THEN 100.0D WHEN n_words < 1400 THEN 85.0D WHEN n_words > 2000 THEN 50.0D ELSE 60.0D END", "typo": "100.0D",
+        "length": "CASE WHEN n_words < 120 THEN 20.0D WHEN n_words < 200 THEN 40.0D WHEN n_words < 350 THEN 75.0D WHEN n_words < 900 THEN 100.0D WHEN n_words < 1400 THEN 85.0D WHEN n_words > 2000 THEN 50.0D ELSE 60.0D END", "typo": "typo_quality",
     }
     weighed = "contact_part / 5 + structure_part / 5 + content_part * 7 / 20 + length_part * 3 / 20 + typo_part / 10 - penalty"
     return [
@@ -99,10 +100,10 @@ def hard_rules(min_projects: int = 1, required: tuple[str, ...] = ()) -> str:
     return reasons({"missing_contact": "has_email = 0 OR has_phone = 0", "few_projects": f"projects_count < {min_projects}", **{f"missing_{r}": f"has_{r}_skills = 0" for r in required}})
 
 
-def safe(columns: list[str]) -> dict[str, str]:
-    """QS6: the scores, zero or empty where a text can't be scored; every third text is taken for one without a score."""
-    broken = "doc_id % 3 = 0"
-    return {f"safe_{c}": f"coalesce(CASE WHEN {broken} THEN NULL ELSE {c} END, {chr(39) * 2 if c == 'reasons' else '0.0D'})" for c in columns}
+def safe(columns: list[str], inputs: tuple[str, ...]) -> dict[str, str]:
+    """QS6: the scores, zero or empty where one of the inputs, as strings, can't be read as a number."""
+    readable = " AND ".join(f"TRY_CAST({x} AS DOUBLE) IS NOT NULL" for x in inputs)
+    return {f"safe_{c}": f"CASE WHEN {readable} THEN {c} ELSE {chr(39) * 2 if c == 'reasons' else '0.0D'} END" for c in columns}
 
 
 #: Inputs of the models that must be there, those that count, and those that are 0 or 1.
@@ -110,12 +111,12 @@ _COUNTS = ("skills_count", "programming_languages_count", "framework_count", "da
 _BINARY = ("has_projects", "has_experience", "has_internship", "has_valid_contact", "is_it_candidate")
 
 
-def validation() -> dict[str, str]:
-    """QS9: 1 if every input is there, counts aren't negative, flags are 0 or 1 and the degree is known; and the rules
-    that a candidate must pass."""
+def validation(d: Spark, skills: str = "skills") -> dict[str, str]:
+    """QS9: 1 if every input is there, as many skills are counted as the list has, counts aren't negative, flags are 0 or 1
+    and the degree is known; and the rules that a candidate must pass."""
     there = " AND ".join(f"{c} IS NOT NULL" for c in (*_COUNTS, *_BINARY, "degree_code", "grade_score"))
     counts, flags = " AND ".join(f"{c} >= 0" for c in _COUNTS), " AND ".join(f"{c} IN (0, 1)" for c in _BINARY)
-    listed = "skills_count = greatest(skills_count, programming_languages_count, framework_count, database_count)"
+    listed = f"skills_count = {d.size(skills)}"
     return {
         "is_valid": flag(f"{there} AND {counts} AND {flags} AND degree_code IN (-1, 0, 1, 2) AND {listed}"),
         "passes_rules": flag("has_valid_contact = 1 AND skills_count > 0 AND (projects_count > 0 OR has_experience = 1)"),

@@ -41,3 +41,21 @@ ML_PROJECT = ("machine learning", "deep learning", "neural", "ml model", "comput
 DATABASE_PROJECT = ("database", "sql", "mysql", "mongodb", "sqlite", "firebase", "stored", "retrieve", "query")
 API_PROJECT = ("api", "rest", "restful", "graphql", "endpoint", "microservice")
 TEAM_PROJECT = ("team", "collaborated", "group", "we built")
+
+# Words that spelling passes over
+RESUME_TERMS = ("resume", "profile", "summary", "objective", "career", "skills", "experience", "projects", "education", "certifications", "achievements", "languages", "interests", "professional", "technical", "leadership", "collaboration", "communication", "management", "analysis", "development", "design", "implementation", "optimization", "deployment", "workflow", "automation", "integration", "testing", "debugging", "documentation", "architecture", "scalability", "performance", "app", "tech", "workflows", "project", "intern", "internship", "declaration")
+ACADEMIC_TERMS = ("bachelor", "b.tech", "b.e", "b.sc", "bsc", "bca", "b.c.a", "b.sc it", "bsc it", "master", "m.tech", "m.e", "m.sc", "msc", "mca", "m.c.a", "m.sc it", "msc it", "mba", "phd", "diploma", "degree", "engineering", "technology", "science", "information technology", "computer science", "computer engineering", "software engineering", "electronics", "electrical", "mechanical", "civil", "b.com", "m.com", "pgdca")
+MAIL_DOMAINS = ("gmail", "yahoo", "hotmail", "outlook", "icloud", "protonmail", "zoho", "rediffmail", "live", "msn")
+INSTITUTES = ("iit", "iim", "nit", "iiit", "bits", "mit", "gseb", "cbse", "icse", "gshseb", "stanford", "harvard", "cambridge", "oxford", "nirma", "daiict", "iima", "iitb", "iitd", "mbit", "adit", "gcet", "madhuben", "bhanubhai", "patel", "ultron", "shri")
+RESUME_ENTITIES = ("linkedin", "github", "gitlab", "portfolio", "stackoverflow", "hackathon", "internship", "project", "projects", "profile", "objective", "summary", "skills", "education", "experience", "certifications", "achievements", "languages")
+SECURITY_TERMS = ("xss", "ssrf", "csrf", "oauth", "jwt", "sql", "nosql", "encryption", "cyber", "cybersecurity")
+OCR_TERMS = ("anadvanced", "andtechnology", "andstorage", "fromimages", "myskills", "vehiclebookings", "vehicleregistration", "detectednumber")
+INDIAN_TERMS = ("ssc", "hsc", "btech", "be", "bca", "mca", "msc", "mtech", "iit", "nit", "iitb", "iitd", "iitk")
+NAMES = ("ayan", "rana", "ruhan", "vohra", "yash", "prajapati", "narendra", "chunara", "athar")
+SPELLED_FRAMEWORKS = (
+    "firebase", "backend", "frontend", "chatbot", "mongodb", "javascript", "python", "reactjs", "react", "nodejs", "node", "expressjs", "express", "angularjs", "angular", "vuejs", "vue", "django", "flask", "fastapi", "springboot", "spring",
+    "tensorflow", "pytorch", "keras", "scikit", "pandas", "numpy", "matplotlib", "seaborn", "opencv", "git", "github", "gitlab", "docker", "kubernetes", "aws", "azure", "gcp", "heroku", "postgresql", "mysql", "sqlite", "redis", "elasticsearch",
+    "typescript", "golang", "rust", "kotlin", "swift", "ruby", "php", "laravel", "codeigniter", "symfony", "rails", "bootstrap", "tailwind", "sass", "less", "webpack", "vite", "graphql", "rest", "soap", "microservices", "serverless",
+    "ci/cd", "jenkins", "travis", "circleci", "terraform", "ansible", "twilio", "watson", "ibm", "arduino", "esp8266", "iot", "raspberry", "raspberrypi", "microcontroller", "servo", "sensor", "yolo", "cnn", "rnn", "lstm", "transformer", "bert",
+    "huggingface", "colab", "kaggle", "anaconda", "jupyter",
+)

@@ -66,7 +66,7 @@ class Collecting(Spark):
         return super().count(t, words)
 
     @property
-    def words(self) -> tuple[str, ...]:
+    def keywords(self) -> tuple[str, ...]:
         return tuple(sorted(set().union(*self.asked.values())))
 
 
@@ -109,9 +109,9 @@ def with_layers_by_hits(frame: DataFrame, layers: Callable[[Spark], list[dict[st
     collected = Collecting(texts)
     made = layers(collected)
     used = {t: next((k + 1 for k, layer in enumerate(made) if t in layer), 0) for t, words in collected.asked.items() if words}
-    for k, layer in enumerate([{}, *layers(Matching(used, collected.words))]):
+    for k, layer in enumerate([{}, *layers(Matching(used, collected.keywords))]):
         if layer:
             frame = frame.selectExpr("*", *[f"{v} AS {n}" for n, v in layer.items()])
         if now := [t for t, at in used.items() if at == k]:
-            frame = with_hits(frame, now, collected.words)
+            frame = with_hits(frame, now, collected.keywords)
     return frame.drop(*[f"{t}_hits" for t in used])

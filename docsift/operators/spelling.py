@@ -6,20 +6,24 @@ words, never by sending it to the driver. Without a dictionary nothing is misspe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.functions import entities as en
+from docsift.functions import wordlists as wl
 from docsift.functions.dialect import WHITE, Spark
-from docsift.functions.skills import WHITELIST
+from docsift.functions.skills import TECH_TERMS
+from docsift.sources.lookup import unknown
 
 # Fixed values
 COMMON_WORDS = (
     "technology", "system", "application", "management", "development", "vehicle", "booking", "registration", "image", "processing", "data", "analysis", "project", "mobile", "software", "engineering", "network", "security", "database",
-    "platform", "cloud", "learning", "automation", "storage", "design", "service", "model", "assistant", "voice", "number", "plate", "detection", "recognition", "text",
+    "platform", "cloud", "learning", "automation", "storage", "design", "service", "model", "assistant", "voice", "number", "plate", "detection", "recognition", "text", "codeunnati", "unnati", "code unnati",
 )
 MAX_CHARS, MAX_WORDS = 100_000, 2000
-KNOWN = tuple(sorted({*(w for w in WHITELIST if w.isalpha()), *en.PLACES, *COMMON_WORDS, *(w for w in en.COMMON_HEADERS if w.isalpha())}))
+_LISTS = (TECH_TERMS, wl.RESUME_TERMS, wl.ACADEMIC_TERMS, wl.MAIL_DOMAINS, en.PLACES, wl.INSTITUTES, wl.RESUME_ENTITIES, wl.SECURITY_TERMS, wl.OCR_TERMS, wl.INDIAN_TERMS, wl.NAMES, COMMON_WORDS, wl.SPELLED_FRAMEWORKS)
+#: Entries of all lists that a word can equal.
+KNOWN = tuple(sorted({w for words in _LISTS for w in words if w.isascii() and w.isalpha()}))
 
 
 def is_merged(d: Spark, w: str, common=COMMON_WORDS) -> str:
@@ -28,10 +32,17 @@ def is_merged(d: Spark, w: str, common=COMMON_WORDS) -> str:
     return f"(length({w}) >= 12 AND {d.some(d.where(d.count_to(f'length({w}) - 3'), 'j2', 'j2 >= 2'), 'i', halves)})"
 
 
+def _plain(d: Spark, text: str) -> str:
+    return d.sub(d.sub(f"substr({text}, 1, {MAX_CHARS})", rf"[^{WHITE}]+@[^{WHITE}]+", " "), rf"https?://[^{WHITE}]+", " ")
+
+
+def _worth_a_look(d: Spark, w: str, known) -> str:
+    return f"length({w}) BETWEEN 5 AND 20 AND NOT {d.among(w, known)} AND NOT {is_merged(d, w)} AND NOT {d.match(w, '(?:university|institute)$')}"
+
+
 def checked_words(d: Spark, text: str, known=KNOWN) -> list[dict[str, str]]:
     """Layers that end in ``checked``: the first MAX_WORDS lower-case words of 5 to 20 letters that are worth a look."""
-    t = d.sub(d.sub(f"substr({text}, 1, {MAX_CHARS})", rf"[^{WHITE}]+@[^{WHITE}]+", " "), rf"https?://[^{WHITE}]+", " ")
-    own = f"length(w) BETWEEN 5 AND 20 AND NOT {d.among('w', known)} AND NOT {is_merged(d, 'w')} AND NOT {d.match('w', '(?:university|institute)$')}"
+    t, own = _plain(d, text), _worth_a_look(d, "w", known)
     whole = d.where(d.found("plain_text", r"[\p{L}\p{N}_]+"), "x", d.match("x", "^[A-Za-z]{3,}$"))
     return [{"plain_text": t}, {"all_words": d.each(whole, "x", "lower(x)")}, {"checked": d.take(d.where("all_words", "w", own), MAX_WORDS)}]
 
@@ -44,6 +55,34 @@ def typo_score(typos: str, words: str) -> str:
     return f"CASE WHEN {words} = 0 THEN 100.0D ELSE greatest(50.0D, 100 - ({ratio(typos, words)}) * 200) END"
 
 
+def checked_rows(docs: DataFrame, known=KNOWN) -> DataFrame:
+    """The same in long form: (doc_id, text) as rows (doc_id, n, word), a row a distinct word, with how often it counts
+    (``n``) among the first MAX_WORDS; every document has one row at least, with a null word if it has none.
+
+    Texts are dealt out by doc_id before they are cut, so that words are counted where they are."""
+    d = Spark()
+    plain = docs.repartition("doc_id").selectExpr("doc_id", f"{_plain(d, "coalesce(text, '')")} AS plain_text")
+    each = plain.selectExpr("doc_id", f"posexplode_outer({d.found('plain_text', r'[\p{L}\p{N}_]+')}) AS (pos, token)").selectExpr("doc_id", "pos", f"CASE WHEN {d.match('token', '^[A-Za-z]{3,}$')} THEN lower(token) END AS word")
+    each = each.selectExpr("doc_id", "pos", f"CASE WHEN {_worth_a_look(d, 'word', known)} THEN word END AS word")
+    place = F.count("word").over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = each.withColumn("word", F.when(place <= MAX_WORDS, F.col("word")))
+    return first.groupBy("doc_id", "word").agg(F.count("word").alias("n"))
+
+
+def count_typos_of_rows(rows: DataFrame, dictionary: DataFrame | None) -> DataFrame:
+    """doc_id, typo_count, total_words, typo_ratio, typo_score of checked_rows; ``dictionary`` has a column word, of any
+    size: the distinct words of all documents meet it in one anti join."""
+    if dictionary is None:
+        bad = rows.select("word").limit(0)
+    else:
+        bad = unknown(rows.select("word").distinct(), "word", dictionary)
+    marked = rows.join(bad.select("word", F.lit(1).alias("is_bad")), "word", "left")
+    counted = marked.groupBy("doc_id").agg(F.count("is_bad").cast("int").alias("typo_count"), F.coalesce(F.sum("n"), F.lit(0)).cast("int").alias("total_words"))
+    if dictionary is None:
+        counted = counted.withColumn("total_words", F.lit(0))
+    return counted.selectExpr("*", f"{ratio('typo_count', 'total_words')} AS typo_ratio", f"{typo_score('typo_count', 'total_words')} AS typo_score")
+
+
 def count_typos(checked: DataFrame, dictionary: DataFrame | None) -> DataFrame:
     """doc_id, typo_count, total_words, typo_ratio, typo_score of (doc_id, checked); ``dictionary`` has a column word."""
     totals = checked.select("doc_id", F.size("checked").alias("total_words"))

@@ -23,7 +23,8 @@ from docsift.operators import projects as pj
 from docsift.operators.close_match import with_closest
 from docsift.operators.keyword_hits import with_layers_by_hits
 from docsift.operators.section_windows import with_blocks
-from docsift.plans.rough import AS_IT_IS, QUERIES, First, python_call, register, texts, with_layers
+from docsift.plans import layout_oracles
+from docsift.plans.rough import AS_IT_IS, ORACLES, QUERIES, First, python_call, register, texts, with_layers
 from docsift.plans.sectioned import CLEAN_SECTIONS, SECTIONS
 
 # Fixed values
@@ -69,6 +70,11 @@ def identity(d: Spark) -> list[dict[str, str]]:
     ]
 
 
+def section_layers(d: Spark, text: str = "text") -> list[dict[str, str]]:
+    """Sections under their own names within the row, where no windows over lines can be had."""
+    return [*en.lines_layer(d, text), *hd.sections(d), *hd.canonical(d)]
+
+
 def project_layers(d: Spark, cut) -> list[dict[str, str]]:
     return [*hd.canonical(d), *pj.project_lines(d), *cut_parts(d, cut)]
 
@@ -200,7 +206,8 @@ def records(spark: SparkSession, frame: DataFrame, keep: tuple[str, ...] = (), d
     }
     late = f"CASE WHEN cut IS NULL THEN 'projects: over {deadline:g} s' ELSE 'ok' END"
     status = f"coalesce(error, {late})" if "error" in frame.columns else late
-    kept = [*keep, f"{status} AS status", "degree_type","is_it_candidate", "score AS education_score", "summary_lines", "interest_lines", "cut AS projects"]
+    contact = f"CASE WHEN {rc.email_typo(d, 'identity_email')} IS NULL THEN 0 ELSE 1 END + CASE WHEN {rc.phone_typo(d, 'identity_phone')} IS NULL THEN 0 ELSE 1 END"
+    kept = [*keep, f"{status} AS status", f"skills_1_typos + skills_2_typos + skills_3_typos + {contact} AS typos", "degree_type","is_it_candidate", "score AS education_score", "summary_lines", "interest_lines", "cut AS projects"]
     made = made.selectExpr("doc_id", "raw", *[f"{v} AS {k}" for k, v in inputs.items()], *kept)
     return with_layers_by_hits(made, features.layers, features.SCANNED)
 
@@ -210,7 +217,7 @@ def nb14_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = records(spark, texts(spark, sf_dir, "rough"))
     lists = {"sections", "edu", "exp", "proj", "ach", "skills", "langs", "summary_lines", "interest_lines"}
     names = [f for layer in features.layers(Spark(), tuple(features.GROUPS)) for f in layer]
-    return made.selectExpr("doc_id", "name", "email", "phone", "location", "degree_type", "education_score", *[f"array_join({c}, '|') AS {c}_" for c in sorted(lists)], *names)
+    return made.selectExpr("doc_id", "name", "email", "phone", "location", "degree_type", "education_score", "typos", *[f"array_join({c}, '|') AS {c}_" for c in sorted(lists)], *names)
 
 
 QUERIES["nb14_records"] = nb14_records
@@ -304,3 +311,4 @@ def _layout_query(name: str, columns: list[str], made: Callable[[str, str], list
 _layout_query("ly6_blocks", ["blocks"], lambda b, r: [{"cut": f"{b}(doc_lines)"}, {"blocks": "array_join(transform(cut, x -> x.type || '@' || x.start_line || ':' || array_join(x.content, ' / ')), chr(10))"}])
 _layout_query("ly7_block_filters", ["headings", "bullet_groups"], lambda b, r: [{"cut": f"{b}(doc_lines)"}, {"headings": "array_join(transform(filter(cut, x -> x.type = 'heading'), x -> array_join(x.content, ' / ')), '|')", "bullet_groups": "size(filter(cut, x -> x.type = 'bullet_group'))"}])
 _layout_query("ly8_recovered_projects", ["recovered"], lambda b, r: [{"recovered": f"array_join({r}(doc_lines), '|')"}])
+ORACLES |= {"ly6_blocks": layout_oracles.LY6, "ly7_block_filters": layout_oracles.LY7, "ly8_recovered_projects": layout_oracles.LY8}

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions import features
+from docsift.functions import records as rc
 from docsift.functions import text as tx
-from docsift.functions.dialect import DuckDB
+from docsift.functions.dialect import DuckDB, Spark
+from docsift.operators import spelling as sp
 from docsift.operators.keyword_hits import with_layers_by_hits
 from docsift.operators.sections import ALIASES, MAX_LINE, MAX_RUN, header
 from docsift.plans.resumes import DUCKDB, resumes
@@ -19,6 +21,8 @@ from docsift.plans.resumes import DUCKDB, resumes
 PARTS = {"edu": "education", "exp": "experience", "proj": "projects", "ach": "achievements", "lang_lines": "languages", "skill_lines": "skills"}
 CITIES = ("ahmedabad", "surat", "vadodara", "rajkot", "mumbai", "pune", "delhi", "bangalore", "hyderabad", "chennai")
 NAME = r"^[A-Z]{2,}( [A-Z]{2,}){1,3}$"
+#: Words in so many texts or more serve as a dictionary.
+COMMON = 3
 CITY = "(?i)(" + "|".join(CITIES) + ")"
 
 
@@ -58,19 +62,33 @@ def with_features(profile: DataFrame, groups=tuple(features.GROUPS)) -> DataFram
     return with_layers_by_hits(profile, lambda d: features.layers(d, groups), features.SCANNED)
 
 
+def _contact_typos(d: Spark) -> str:
+    return f"CASE WHEN {rc.email_typo(d, 'email')} IS NULL THEN 0 ELSE 1 END + CASE WHEN {rc.phone_typo(d, 'phone')} IS NULL THEN 0 ELSE 1 END"
+
+
+def with_typos(profile: DataFrame) -> DataFrame:
+    """Adds typos (of contacts; skills of a profile are exact) and typo_quality. Words in COMMON texts or more serve as a
+    dictionary."""
+    rows = sp.checked_rows(profile.select("doc_id", F.col("raw").alias("text")))
+    dictionary = rows.filter("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("in_texts")).filter(F.col("in_texts") >= COMMON)
+    scores = sp.count_typos_of_rows(rows, dictionary).select("doc_id", F.col("typo_score").alias("typo_quality"))
+    return profile.join(scores, "doc_id").selectExpr("*", f"{_contact_typos(Spark())} AS typos")
+
+
 #: Texts that both engines profile: synthetic candidates under a name, some with a city, dates, verbs and languages.
 _EXTRA = """
-SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN 'ASHA PATEL' || chr(10) ELSE '' END || text || chr(10)
+SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN 'ASHA PATEL' || chr(10) ELSE '' END || CASE WHEN doc_id % 13 = 0 THEN 'asha@gamil.com' || chr(10) ELSE '' END || text || chr(10)
+  || CASE WHEN doc_id % 9 = 0 THEN 'Wrongly' || translate(CAST(doc_id AS {string}), '0123456789', 'abcdefghij') || ' responsable managment of teams and sevrers' || chr(10) ELSE '' END
   || CASE WHEN doc_id % 3 = 0 THEN 'Surat, India' || chr(10) ELSE '' END
   || CASE WHEN doc_id % 5 = 0 THEN 'LANGUAGES' || chr(10) || 'English, Hindi / French' || chr(10) ELSE '' END
   || CASE WHEN doc_id % 7 = 0 THEN 'Experience' || chr(10) || '- Led 12 people, cut 30 hours at Acme Technologies, 2015 - Present' || chr(10) ELSE '' END
   || CASE WHEN doc_id % 11 = 0 THEN 'DECLARATION' || chr(10) || 'data data data data S K I L L S https://asha.dev' ELSE '' END AS text
 FROM {texts}"""
-CANDIDATES = _EXTRA.format(texts=f"({DUCKDB})")
+CANDIDATES = _EXTRA.format(texts=f"({DUCKDB})", string="VARCHAR")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_EXTRA, texts=resumes(spark, sf_dir))
+    return spark.sql(_EXTRA.replace("{string}", "STRING"), texts=resumes(spark, sf_dir))
 
 
 def _lists() -> str:
@@ -81,10 +99,20 @@ def _lists() -> str:
     return f"""
 p0 AS (SELECT doc_id, list_distinct(list(section)) AS sections, count(*) AS section_lines, {", ".join(f"list(line ORDER BY pos) FILTER (section = '{s}') AS {k}" for k, s in PARTS.items())} FROM b GROUP BY doc_id),
 p1 AS (SELECT r.doc_id, r.text AS raw, coalesce(sections, []) AS sections, coalesce(section_lines, 0) AS section_lines, {parts} FROM r LEFT JOIN p0 USING (doc_id)),
-f0 AS (SELECT *, {name} AS name, lower(nullif(regexp_extract(raw, '{tx.EMAIL}'), '')) AS email, {phone} AS phone, nullif(regexp_extract(raw, '{CITY}'), '') AS location, {split('skill_lines')} AS skills, {split('lang_lines')} AS langs FROM p1)"""
+e0 AS (SELECT *, {name} AS name, lower(nullif(regexp_extract(raw, '{tx.EMAIL}'), '')) AS email, {phone} AS phone, nullif(regexp_extract(raw, '{CITY}'), '') AS location, {split('skill_lines')} AS skills, {split('lang_lines')} AS langs FROM p1)"""
+
+
+def _typos(d: DuckDB) -> str:
+    layers = sp.checked_words(d, "raw")
+    sql = "".join(f",\ny{k + 1} AS (SELECT *, " + ", ".join(f"{d.render(v)} AS {n}" for n, v in layer.items()) + f" FROM {f'y{k}' if k else 'e0'})" for k, layer in enumerate(layers))
+    score = sp.typo_score("coalesce(n_bad, 0)", "len(checked)")
+    return sql + f""",
+yw AS (SELECT doc_id, unnest(list_distinct(checked)) AS word FROM y{len(layers)}), yd AS (SELECT word FROM yw GROUP BY word HAVING count(*) >= {COMMON}),
+yb AS (SELECT doc_id, count(*) AS n_bad FROM yw WHERE word NOT IN (SELECT word FROM yd) GROUP BY doc_id),
+f0 AS (SELECT y.* EXCLUDE (plain_text, all_words, checked), {d.render(score)} AS typo_quality, {_contact_typos(d)} AS typos FROM y{len(layers)} y LEFT JOIN yb USING (doc_id))"""
 
 
-def duckdb_sql(columns: list[str], groups=tuple(features.GROUPS), extra: list[dict[str, str]] = ()) -> str:
+def duckdb_sql(columns: list[str], groups=tuple(features.GROUPS), extra: list[dict[str, str]] = (), typos: bool = False) -> str:
     """DuckDB SQL of doc_id and columns of the profile's features, with further layers on top."""
     aliases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items())
     sql = f"""WITH r AS ({CANDIDATES}), s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM r),
@@ -94,6 +122,7 @@ h AS (SELECT *, CASE WHEN length(trim(line)) <= 60 AND NOT regexp_matches(trim(l
 f AS (SELECT *, last_value(opens IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h),
 b AS (SELECT doc_id, section, pos, line FROM f WHERE opens IS NULL AND section IS NOT NULL AND trim(line) <> ''),{_lists()}"""
     d = DuckDB()
+    sql += _typos(d) if typos else ",\nf0 AS (SELECT * FROM e0)"
     steps = [*features.layers(d, groups), *extra]
     for k, layer in enumerate(steps):
         sql += f",\nf{k + 1} AS (SELECT *, " + ", ".join(f"{d.render(v)} AS {n}" for n, v in layer.items()) + f" FROM f{k})"

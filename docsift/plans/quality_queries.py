@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docsift.functions import rules
-from docsift.functions.dialect import DuckDB, Spark
+from docsift.functions.dialect import DuckDB
 from docsift.operators import spelling as sp
-from docsift.plans.rough import ORACLES, QUERIES, duckdb_layers, register, texts, with_layers
+from docsift.plans.rough import ORACLES, QUERIES, duckdb_layers, register, texts
 
 #: Words in three documents or more serve as a dictionary.
 COMMON = 3
@@ -19,10 +19,9 @@ def _checked(d):
 
 
 def qs1_qs2_spelling(spark, sf_dir):
-    checked = with_layers(texts(spark, sf_dir), _checked(Spark())).select("doc_id", "checked")
-    words = checked.select("doc_id", F.explode(F.array_distinct("checked")).alias("word"))
-    dictionary = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
-    return sp.count_typos(checked, dictionary)
+    rows = sp.checked_rows(texts(spark, sf_dir))
+    dictionary = rows.filter("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("in_texts")).filter(F.col("in_texts") >= COMMON)
+    return sp.count_typos_of_rows(rows, dictionary)
 
 
 QUERIES["qs1_qs2_spelling"] = qs1_qs2_spelling

@@ -12,8 +12,8 @@ ORACLES: dict[str, str] = {}
 
 
 def src10_synthetic_rows(spark, sf_dir):
-    """Rows of each label, and how many have all of a few features within the label's ranges."""
-    rows = synthetic_rows(spark, 1000)
+    """As many rows as there are customers: those of each label, and how many have all of a few features within its ranges."""
+    rows = synthetic_rows(spark, spark.read.parquet(f"{sf_dir}/customer.parquet").count())
     inside = "has_name = 1 AND skills_count BETWEEN CASE label WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 8 END AND CASE label WHEN 0 THEN 5 WHEN 1 THEN 9 ELSE 15 END AND resume_word_count BETWEEN CASE WHEN label > 0 THEN 300 ELSE 50 END AND CASE WHEN label > 0 THEN 600 ELSE 200 END"
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.expr(inside), 1)).alias("n_inside"))
 
@@ -44,7 +44,7 @@ def qs17_strength(spark, sf_dir):
 
 for _f in (src10_synthetic_rows, ml3_dataset_rows, ml1_ml2_model_inputs, qs17_strength):
     QUERIES[_f.__name__] = _f
-ORACLES["src10_synthetic_rows"] = "SELECT CAST(label AS INTEGER) AS label, CAST(333 AS BIGINT) AS n, CAST(333 AS BIGINT) AS n_inside FROM range(3) t(label)"
+ORACLES["src10_synthetic_rows"] = "SELECT CAST(label AS INTEGER) AS label, n, n AS n_inside FROM range(3) t(label), (SELECT CAST(count(*) // 3 AS BIGINT) AS n FROM customer)"
 ORACLES["ml3_dataset_rows"] = """
 SELECT c_custkey AS id, CAST(c_nationkey AS DOUBLE) AS skills_count, coalesce(CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE round(c_acctbal, 2) END, 0) AS grade_score, CAST(0 AS DOUBLE) AS projects_count,
   CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 3 AS INTEGER) END AS label FROM customer"""

@@ -57,6 +57,7 @@ def test_cleaning_steps(spark):
 def test_folding_is_decomposition(spark):
     r = random.Random(2)
     texts = ["".join(chr(c) for c in (r.randrange(32, 0x3000) for _ in range(80)) if not 0xD800 <= c < 0xE000) for _ in range(60)]
+    texts += ["it\uff07s \uff3c a \ufe68 path\\\uff07"]
     want = [unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts]
     assert run(spark, texts, cl.layers(D, (cl.fold_ascii,)), "clean") == want
 
