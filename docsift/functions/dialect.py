@@ -31,6 +31,15 @@ def clamp(x: str) -> str:
     return f"round(greatest(0.0D, least(100.0D, {x})), 2)"
 
 
+class Only(dict):
+    """A layer after which its own columns are all there are."""
+
+    @staticmethod
+    def columns(layer: dict[str, str]) -> list[str]:
+        """What a layer selects."""
+        return [*([] if isinstance(layer, Only) else ["*"]), *(f"{v} AS {k}" for k, v in layer.items())]
+
+
 class Spark:
     """Patterns are raw literals; lambdas are Spark's."""
 

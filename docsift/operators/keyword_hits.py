@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from docsift.functions.dialect import Spark
+from docsift.functions.dialect import Only, Spark
 
 BITS = 63
 
@@ -111,7 +111,7 @@ def with_layers_by_hits(frame: DataFrame, layers: Callable[[Spark], list[dict[st
     used = {t: next((k + 1 for k, layer in enumerate(made) if t in layer), 0) for t, words in collected.asked.items() if words}
     for k, layer in enumerate([{}, *layers(Matching(used, collected.keywords))]):
         if layer:
-            frame = frame.selectExpr("*", *[f"{v} AS {n}" for n, v in layer.items()])
+            frame = frame.selectExpr(*Only.columns(layer))
         if now := [t for t, at in used.items() if at == k]:
             frame = with_hits(frame, now, collected.keywords)
     return frame.drop(*[f"{t}_hits" for t in used])

@@ -16,7 +16,7 @@ from docsift.functions import features, rules
 from docsift.functions import headers as hd
 from docsift.functions import records as rc
 from docsift.functions import skills as sk
-from docsift.functions.dialect import WHITE, Spark, flag
+from docsift.functions.dialect import WHITE, Only, Spark, flag
 from docsift.functions.rules import reasons
 from docsift.operators import layout as ly
 from docsift.operators import projects as pj
@@ -191,6 +191,14 @@ register("nb16_qs14_exact_screening", _SCREENED, lambda d: [*_EXACT(d), *screeni
 register_python("nb16_qs14_screening", _SCREENED, lambda d, match, cut: [*record(d, match, cut), *screening(d), _shown(d, "refined")], first=CLEAN_SECTIONS)
 
 
+def feature_inputs(d: Spark) -> dict[str, str]:
+    """What the features call the parts of a record."""
+    return {
+        "name": "identity_name", "email": "identity_email", "phone": "identity_phone", "location": "identity_location", "lines": "doc_lines", "sections": "canon_names", "section_lines": d.size(d.flat("canon_lines")),
+        "edu": "education_lines", "exp": "experience", "proj": "project_strings", "ach": "achievement_lines", "lang_lines": "language_lines", "skill_lines": "skills", "skills": "skills", "langs": "language_lines",
+    }
+
+
 def records(spark: SparkSession, frame: DataFrame, keep: tuple[str, ...] = (), deadline: float = 30.0) -> DataFrame:
     """Assembled records of (doc_id, text): identity, sections, lists, projects and all features of the catalogue.
     Columns ``keep`` go along; doc_id tells rows apart. ``status`` is ok, the row's own ``error`` if it has such a column, or
@@ -200,18 +208,20 @@ def records(spark: SparkSession, frame: DataFrame, keep: tuple[str, ...] = (), d
     # a stream has no windows over lines: there the same sections are made within the row
     made = with_layers(frame, CLEAN_SECTIONS.layers(d)) if frame.isStreaming else CLEAN_SECTIONS.frame(frame)
     made = with_layers(made, record(d, python_call(match), python_call(cut)))
-    inputs = {
-        "name": "identity_name", "email": "identity_email", "phone": "identity_phone", "location": "identity_location", "lines": "doc_lines", "sections": "canon_names", "section_lines": "aggregate(canon_lines, 0, (n, l) -> n + size(l))",
-        "edu": "education_lines", "exp": "experience", "proj": "project_strings", "ach": "achievement_lines", "lang_lines": "language_lines", "skill_lines": "skills", "skills": "skills", "langs": "language_lines",
-    }
     late = f"CASE WHEN cut IS NULL THEN 'projects: over {deadline:g} s' ELSE 'ok' END"
     status = f"coalesce(error, {late})" if "error" in frame.columns else late
     contact = f"CASE WHEN {rc.email_typo(d, 'identity_email')} IS NULL THEN 0 ELSE 1 END + CASE WHEN {rc.phone_typo(d, 'identity_phone')} IS NULL THEN 0 ELSE 1 END"
     kept = [*keep, f"{status} AS status", f"skills_1_typos + skills_2_typos + skills_3_typos + {contact} AS typos", "degree_type","is_it_candidate", "score AS education_score", "summary_lines", "interest_lines", "cut AS projects"]
-    made = made.selectExpr("doc_id", "raw", *[f"{v} AS {k}" for k, v in inputs.items()], *kept)
+    made = made.selectExpr("doc_id", "raw", *[f"{v} AS {k}" for k, v in feature_inputs(d).items()], *kept)
     return with_layers_by_hits(made, features.layers, features.SCANNED)
 
 
+register(
+    "g01_g11_record_features", features.ALL, lambda d: [*_EXACT(d), Only({"doc_id": "doc_id", "raw": "raw", **feature_inputs(d)}), *features.layers(d)],
+    first=CLEAN_SECTIONS, scanned=features.SCANNED,
+)
+
+
 def nb14_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The assembled records of the rough candidates, lists as joined strings."""
     made = records(spark, texts(spark, sf_dir, "rough"))

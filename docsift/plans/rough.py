@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsift.functions.dialect import DuckDB, Spark
+from docsift.functions.dialect import DuckDB, Only, Spark
 from docsift.operators.keyword_hits import with_layers_by_hits
 from docsift.plans.resumes import spread
 
@@ -71,7 +71,7 @@ def python_call(name: str) -> Callable[[str], str]:
 
 def with_layers(frame: DataFrame, layers: list[dict[str, str]]) -> DataFrame:
     for layer in layers:
-        frame = frame.selectExpr("*", *[f"{v} AS {k}" for k, v in layer.items()])
+        frame = frame.selectExpr(*Only.columns(layer))
     return frame
 
 
@@ -79,7 +79,7 @@ def duckdb_layers(base: str, layers: list[dict[str, str]], final: str) -> str:
     d = DuckDB()
     sql = f"WITH t0 AS ({BASES[base].format(documents='documents', customer='customer')})"
     for k, layer in enumerate(layers):
-        sql += f",\nt{k + 1} AS (SELECT *, " + ", ".join(f"{d.render(v)} AS {n}" for n, v in layer.items()) + f" FROM t{k})"
+        sql += f",\nt{k + 1} AS (SELECT " + ", ".join(map(d.render, Only.columns(layer))) + f" FROM t{k})"
     return f"{sql}\n{final.format(table=f't{len(layers)}')}"
 
 
