@@ -9,13 +9,13 @@ from docsift.functions import lexicons as lx
 from docsift.functions import text as tx
 from docsift.functions.dialect import flag
 from docsift.operators.keyword_hits import with_layers_by_hits
-from docsift.plans import builder_queries, cleaning_queries, entity_queries, feature_queries, page_queries, quality_queries, record_queries, rough, section_queries, source_queries  # noqa: F401 - they register queries
+from docsift.plans import builder_queries, cleaning_queries, entity_queries, feature_queries, page_queries, model_queries, quality_queries, record_queries, rough, section_queries, source_queries  # noqa: F401 - they register queries
 from docsift.operators.sections import ALIASES, section_lines
 from docsift.plans.resumes import DUCKDB, resumes, spread
 
 FLAGSHIP = "qs_candidate_readiness"
-QUERIES: dict = feature_queries.QUERIES | record_queries.QUERIES | rough.QUERIES | source_queries.QUERIES | page_queries.QUERIES
-ORACLES: dict[str, str] = feature_queries.ORACLES | record_queries.ORACLES | rough.ORACLES | source_queries.ORACLES | page_queries.ORACLES
+QUERIES: dict = feature_queries.QUERIES | record_queries.QUERIES | rough.QUERIES | source_queries.QUERIES | page_queries.QUERIES | model_queries.QUERIES
+ORACLES: dict[str, str] = feature_queries.ORACLES | record_queries.ORACLES | rough.ORACLES | source_queries.ORACLES | page_queries.ORACLES | model_queries.ORACLES
 
 
 def _query(oracle: str | None = None):
