@@ -218,7 +218,7 @@ def records(spark: SparkSession, frame: DataFrame, keep: tuple[str, ...] = (), d
 
 register(
     "g01_g11_record_features", features.ALL, lambda d: [*_EXACT(d), Only({"doc_id": "doc_id", "raw": "raw", **feature_inputs(d)}), *features.layers(d)],
-    first=CLEAN_SECTIONS, scanned=features.SCANNED,
+    base="rough", first=CLEAN_SECTIONS, scanned=features.SCANNED,
 )
 
 
