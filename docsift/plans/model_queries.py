@@ -20,7 +20,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 SHARES = {"letters": r"[A-Za-z]", "digits": r"[0-9]", "capitals": r"[A-Z]", "blanks": r"[ \n\t]", "marks": r"[.,;:!?]", "vowels": r"[aeiou]"}
 NAMES = tuple(SHARES)
-#: Greatest entry of the gradient that counts as flat; without a fit it is 0.05 and more.
+#: Greatest entry of the gradient that counts as flat; on sf0.01 it is 8e-9 at the fit and 0.2 at coefficients of zero.
 FLAT = 1e-3
 
 
