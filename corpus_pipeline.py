@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import decontaminate, mixing, near_copies, quality, suffix_dedup
-from docsift.llm.shared import shared_dir
+from docsift.llm import decontaminate, mixing, near_copies, quality, simhash, suffix_dedup
+from docsift.llm.shared import persisted, shared_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row, of the smallest doc_id, of each group of near copies: five-word shingles, Jaccard 0.8 or more.
+    """Keeps one row, of the smallest doc_id, of each component of SimHash fingerprints, as op10 links them; of those that
+    remain, which no radius of fingerprints tells apart in full, one of each group whose five-word shingles have a Jaccard
+    similarity of 0.8 or more.
 
     Groups are of texts, so rows without doc_id and unlike texts with one doc_id stay; a null doc_id comes last."""
-    return near_copies.one_of_each(docs)
+    return near_copies.one_of_each(persisted(simhash.one_of_each(docs)))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

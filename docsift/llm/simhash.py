@@ -161,6 +161,35 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return marked.join(named, "bits", "left")
 
 
+def _marks(shingle: int, seed: int):
+    marked = _fingerprints(shingle, seed)
+
+    @vec.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("row")
+            own = pa.record_batch([pa.array(np.arange(len(rows))), rows.field("text")], ["doc_id", "text"])
+            for found in marked([own]):
+                yield pa.record_batch([rows.take(found.column("doc_id")), found.column("bits")], ["row", "bits"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """One row of each component of linked fingerprints: the smallest doc_id, null last; of several with it, the least row
+    hash. Rows are told apart by their fingerprints alone, so those without doc_id and unlike texts with one stay."""
+    nodes = persisted(fingerprints(docs.select(F.lit(None).alias("doc_id"), "text"), shingle, seed).groupBy(F.col("bits").alias("node")).agg(F.count(F.lit(1)).alias("n")))
+    label = components(links(nodes.select("node", F.col("node").alias("bits")), radius))
+    groups = persisted(nodes.join(label, "node", "left").filter("n > 1 OR label IS NOT NULL").select(F.col("node").alias("bits"), F.coalesce("label", "node").alias("label")))
+    # most rows are in no group; they are not moved
+    rows = docs.select(F.struct("*").alias("row"))  # any names may be in it
+    marked = rows.mapInArrow(_marks(shingle, seed), f"row {rows.schema['row'].dataType.simpleString()}, bits long")
+    marked = marked.join(groups, "bits", "left")
+    rank = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.xxhash64("row"))
+    kept = marked.filter("label IS NOT NULL").groupBy("label").agg(F.min_by("row", rank).alias("row"))
+    return marked.filter("label IS NULL").select("row").union(kept.select("row")).select("row.*")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
