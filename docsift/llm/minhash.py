@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .near_copies import _few, _nested, _nodes, _sets, sketch
-from .shared import persisted
+from .near_copies import _nested, _nodes, _sets, sketch
+from .shared import few, persisted
 from .simhash import components
 
 SHINGLE, PERCENT = 4, 80
@@ -191,16 +191,21 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     """src, dst: the pairs (a, b) of nodes whose whole sets are similar."""
     pairs = persisted(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "hash"), "node")
-    texts = docs.select(F.xxhash64("text").alias("hash"), "text").join(_few(persisted(wanted)), "hash").groupBy("node").agg(F.first("text").alias("text"))
+    texts = docs.select(F.xxhash64("text").alias("hash"), "text").join(few(persisted(wanted)), "hash").groupBy("node").agg(F.first("text").alias("text"))
     texts = persisted(texts.select("node", "text").mapInArrow(_pack, "node long, text binary"))
     both = pairs.join(texts.withColumnRenamed("node", "a"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return persisted(both.select("a", "b", "text", "text_b").mapInArrow(_similar(shingle, percent), "src long, dst long"))
 
 
-def stars(nodes: DataFrame, percent: int) -> DataFrame:
+def posted(nodes: DataFrame) -> DataFrame:
+    """key, node, size, band, n: the bands that several nodes share, and how many do; most bands are of one node."""
+    own = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    return persisted(own.join(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"))
+
+
+def stars(posts: DataFrame, percent: int) -> DataFrame:
     """a, b: nodes that share one of the first STARS bands, each with the least of about PARTNERS of them."""
-    own = nodes.select("node", "size", F.explode(F.slice("bands", 1, STARS)).alias("key"))
-    own = own.join(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
+    own = posts.filter(F.col("band") < STARS)
     own = own.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / PARTNERS)))
     first = own.groupBy("key", "part").agg(F.min(F.struct("node", "size")).alias("first"))
     both = own.join(first, ["key", "part"]).filter("node <> first.node")
@@ -208,17 +213,16 @@ def stars(nodes: DataFrame, percent: int) -> DataFrame:
     return both.filter(near).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def mixed(nodes: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, size, label, key) of all bands; (key, n, low) of bands of several components: nodes, a node of the least."""
-    own = nodes.select("node", "size", "bands").join(label, "node", "left")
-    own = own.select("node", "size", F.coalesce("label", "node").alias("label"), F.explode("bands").alias("key"))
+def mixed(posts: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, size, label, key) of shared bands; (key, n, low) of bands of several components: nodes, a node of the least."""
+    own = posts.join(few(label), "node", "left").select("node", "size", F.coalesce("label", "node").alias("label"), "key")
     least = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("label", "node", "size")).alias("low"), F.max("label").alias("high"))
     return own, least.filter("low.label < high").drop("high")
 
 
-def outsiders(nodes: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def outsiders(posts: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """a, b: a node of the least component of a band, and each node of other components there."""
-    own, least = mixed(nodes, label)
+    own, least = mixed(posts, label)
     both = own.join(least, "key").filter("label <> low.label")
     near = F.least("size", "low.size") * 100 >= F.greatest("size", "low.size") * percent
     return both.filter(near).select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
@@ -288,9 +292,9 @@ def _tiles(percent: int, least: int):
     return run
 
 
-def remaining(nodes: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def remaining(nodes: DataFrame, posts: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """a, b: all pairs that share a band and are of different components, as far as they may be similar."""
-    own, least = mixed(nodes, label)
+    own, least = mixed(posts, label)
     own = own.join(least.select("key", F.ceil(F.col("n") / GROUP).cast("int").alias("salts")), "key")
     own = own.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     # salt s meets salt t in tile (lesser, greater)
@@ -306,18 +310,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = persisted(marked(docs, shingle))
     nodes = persisted(rows.filter("size > 0").drop("doc_id").dropDuplicates(["node"]))
-    links = confirmed(docs, nodes, best(nodes, stars(nodes, percent), percent), shingle, percent)
+    posts = posted(nodes)
+    links = confirmed(docs, nodes, best(nodes, stars(posts, percent), percent), shingle, percent)
     label = components(links, 3, whole=False)
-    links = links.union(confirmed(docs, nodes, best(nodes, outsiders(nodes, label, percent), percent), shingle, percent))
+    links = links.union(confirmed(docs, nodes, best(nodes, outsiders(posts, label, percent), percent), shingle, percent))
     label = components(links, 3, whole=False, known=label)
-    rest = confirmed(docs, nodes, remaining(nodes, label, percent), shingle, percent)
+    rest = confirmed(docs, nodes, remaining(nodes, posts, label, percent), shingle, percent)
     label = components(links.union(rest), known=label)
     # only sets of several rows or with links have another component than their row
     own = rows.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).join(label, "node", "left")
     own = own.filter("n > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "node"))
     lowest = own.groupBy("label").agg(F.min("first").alias("lowest"))
     known = own.select("node", "label").join(lowest, "label").select("node", "lowest", F.lit(True).alias("known"))
-    out = rows.select("doc_id", "node", "size").join(_few(persisted(known)), "node", "left")
+    out = rows.select("doc_id", "node", "size").join(few(persisted(known)), "node", "left")
     out = out.withColumn("component_id", F.when(F.expr("known AND size > 0"), F.col("lowest")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("size").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .segments import answer, ask, unpack
-from .shared import persisted
+from .shared import few, persisted
 from .simhash import components
 
 SHINGLE = 5
@@ -50,8 +50,6 @@ SKETCH_BITS = 1024
 SIEVE = 15
 #: Bits of a shingle's hash that the sieve compares; chance repeats only let more sets through.
 SIEVE_BITS = 44
-#: Rows of a table of nodes that is still broadcast.
-SENT = 2_000_000
 
 
 _SEEDS = np.random.default_rng(20250101).integers(0, 2**64, ROUNDS * BANDS * BAND_ROWS, dtype=np.uint64)[None, :]
@@ -250,10 +248,6 @@ def _similar(percent: int):
     return run
 
 
-def _few(nodes: DataFrame) -> DataFrame:
-    return F.broadcast(nodes) if nodes.count() <= SENT else nodes
-
-
 def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """src, dst: the pairs (a, b) of nodes whose whole sets are similar; ``sets`` has node and grams."""
     pairs = persisted(pairs.distinct())
@@ -289,7 +283,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     sent = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, shingle, step))
     lists = ("keys", "weights", "bands", "grams", "sketch")
     known = persisted(candidates(docs, shingle, percent))
-    found = docs.select("text").mapInArrow(_prefixes(shingle, percent, sent), "node long, size int, keys array<long>, weights array<int>, bands array<long>, grams array<long>, sketch binary").join(_few(known), "node", "left")
+    found = docs.select("text").mapInArrow(_prefixes(shingle, percent, sent), "node long, size int, keys array<long>, weights array<int>, bands array<long>, grams array<long>, sketch binary").join(few(known), "node", "left")
     may = F.coalesce("repeated", F.lit(0)) >= F.greatest(F.lit(1), F.floor(F.col("size") * SIEVE * percent / 10000))
     nodes = found.select("node", "size", *[F.when(may, F.col(c)).alias(c) for c in lists])
     nodes = persisted(nodes.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", *lists)], F.count(F.lit(1)).alias("n")))
@@ -319,7 +313,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row of each group of near copies: the smallest doc_id, null last; of several with it, the least row hash."""
-    label = _few(persisted(near_copies(docs, shingle, percent)))
+    label = few(persisted(near_copies(docs, shingle, percent)))
     rows = docs.select(F.struct("*").alias("row"))  # any names may be in it
     marked = rows.mapInArrow(_marks(shingle), f"row {rows.schema['row'].dataType.simpleString()}, node long")
     rank = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.xxhash64("row"))

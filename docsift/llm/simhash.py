@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .shared import persisted
+from .shared import in_parts, persisted
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: Labels that are still broadcast in each round of components.
+SENT = 200_000
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -139,11 +141,15 @@ def components(edges: DataFrame, rounds: int = 60, whole: bool = True, known: Da
     if known is not None:
         before = known.select("node", F.col("label").alias("known"))
         labels = persisted(labels.join(before, "node", "left").select("node", F.least("label", "known").alias("label")))
+    both, n = in_parts(both, both.count()), labels.count()
+    labels = in_parts(labels, n)
     for _ in range(rounds):
-        seen = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("seen"))
-        near = labels.join(seen, "node").select("node", F.least("label", "seen").alias("label"), F.col("label").alias("was"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = persisted(near.join(jump, "label", "left").select("node", F.coalesce(F.least("label", "further"), "label").alias("label"), "was"))
+        sent = F.broadcast(labels) if n <= SENT else labels
+        seen = both.join(sent.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("seen"))
+        near = seen.join(sent, "node").select("node", F.least("label", "seen").alias("label"), F.col("label").alias("was"))
+        jump = sent.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        new = near.join(jump, "label", "left").select("node", F.coalesce(F.least("label", "further"), "label").alias("label"), "was")
+        new = persisted(in_parts(new, n))
         labels = new.select("node", "label")
         if whole and not new.filter(F.col("label") < F.col("was")).limit(1).count():
             return labels
