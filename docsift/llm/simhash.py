@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .shared import in_parts, persisted
+from .shared import few, in_parts, persisted
 
 RADIUS = 3
 SHINGLE = 3
@@ -190,7 +190,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, s
     # most rows are in no group; they are not moved
     rows = docs.select(F.struct("*").alias("row"))  # any names may be in it
     marked = rows.mapInArrow(_marks(shingle, seed), f"row {rows.schema['row'].dataType.simpleString()}, bits long")
-    marked = marked.join(groups, "bits", "left")
+    marked = marked.join(few(groups), "bits", "left")
     rank = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.xxhash64("row"))
     kept = marked.filter("label IS NOT NULL").groupBy("label").agg(F.min_by("row", rank).alias("row"))
     return marked.filter("label IS NULL").select("row").union(kept.select("row")).select("row.*")

@@ -39,3 +39,12 @@ def test_only_bands_of_several_nodes_are_kept(spark):
     assert want and {(r.key, r.n) for r in got} == want and len(got) == sum(n for _, n in want)
     assert all(r.band in range(minhash.BANDS) for r in got) and len({(r.key, r.band) for r in got}) == len(want)
     assert [(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).orderBy("doc_id").collect()] == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_rows_in_no_group_are_not_shuffled(spark):
+    """pipeline, simhash_near_dedup: the join with the few groups moved all rows, as a checkpoint's size isn't known."""
+    docs = spark.createDataFrame([(k, f"text {k % 90} of its own {k % 90}") for k in range(100)], "doc_id long, text string")
+    out = simhash.one_of_each(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert sorted(r.doc_id for r in out.collect()) == list(range(90))
