@@ -41,8 +41,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text becomes empty; a row without doc_id is kept as it is and is nobody's source; rows with one doc_id are one
     document for the order, and what they share stays; texts of any length are judged whole; an empty table gives an
     empty result; other columns may have any names."""
-    kept = suffix_dedup.remove_repeated_passages(docs, keep=docs.columns)
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    # the text goes along packed, not in the rows
+    kept = suffix_dedup.remove_repeated_passages(docs, keep=[c for c in docs.columns if c not in new])
     return kept.select(*[new.get(f.name, F.col(f"row.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema])
 
 

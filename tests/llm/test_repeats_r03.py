@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from docsift.llm import induced
+import corpus_pipeline as pipeline
+from docsift.llm import induced, suffix_dedup
 from docsift.llm.segments import repeated
 
 
@@ -67,3 +68,20 @@ def test_segments_at_repeated_anchors_are_found_once(spark):
     """op6_suffix_array_dedup, op1, the pipeline: anchors were sought and segments made anew for each use of them."""
     got = repeated(_docs(spark)[1], "word", 51, 25, apart=False)
     assert got.found.count() and "MapInArrow" not in got.found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_shuffled_once_and_packed_only(spark, monkeypatch):
+    """pipeline, suffix_array_dedup: 4.1 x the input of disk; rows took their texts along, beside the packed ones, and with
+    other columns than the step before, so that both were shuffled."""
+    passage, docs = _docs(spark)
+    asked, real = [], suffix_dedup.remove_repeated_passages
+    monkeypatch.setattr(suffix_dedup, "remove_repeated_passages", lambda *a, keep, **k: asked.append(keep) or real(*a, keep=keep, **k))
+    out = pipeline.cut_repeats(spark, docs, "")
+    assert out.columns == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[0].text == f"own 0 {passage} end 0" and got[7].text == "own 7 7" and got[99].text == ""
+    assert (got[7].lang, got[7].source, got[7].n_chars, got[99].n_chars) == ("en", "web", 7, 0)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [x for x in plan.split("\n") if "Exchange hashpartitioning(doc_id" in x and "REPARTITION_BY_COL" in x]
+    assert len(moved) == 2 and sum("ReusedExchange" in x for x in moved) == 1
+    assert asked == [["doc_id", "lang", "source"]]
